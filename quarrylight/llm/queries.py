@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 from .mixing import mix_sources
 
 
@@ -27,3 +28,7 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf))
