@@ -9,6 +9,9 @@ from .ann import nearest
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
+from .pfor import round_trip
+from .token_counts import count_tokens
 
 
 def _docs(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -32,3 +35,15 @@ def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf))
+
+
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(_docs(spark, sf), "byte_bpe_50k.json", end=50256, vocabulary_size=50257)
+
+
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf), "byte_bpe_50k.json", end=0)
+
+
+def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return round_trip(_docs(spark, sf), "word_bpe_49k.json", end=1)
