@@ -114,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     gone = held.join(common, "key").filter("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("__gone"))
     gone = scratch.keep(gone, "gone")
     scratch.drop("held", "common")
-    out = without(docs, "n_lines", "n_dropped", "kept_text", "__gone").join(gone, "doc_id", "left")
+    out = without(docs, "n_lines", "n_dropped", "kept_text", "__gone").join(gone.hint("merge"), "doc_id", "left")  # one plan at every size
     lines = lines_of(F.col("text"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_hash(x, min_chars)), F.lit(False)))
     out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
