@@ -73,6 +73,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def need(df: DataFrame, *names: str) -> None:
+    """Check df's columns, and see to it that its executors have this package."""
+    ship(df.sparkSession)
     lost = [n for n in names if n not in df.columns]
     if lost:
         raise ValueError(f"missing columns: {', '.join(lost)}")

@@ -108,7 +108,7 @@ def shingles(words: np.ndarray, at: np.ndarray, size: int = WORDS) -> tuple[np.n
     out[place] = full[keep]
     for i in np.flatnonzero((count > 0) & ~long):
         w = words[at[i] : at[i + 1]]
-        out[off[i]] = mix((w * _PLACE[: len(w)]).sum(dtype=np.uint64, keepdims=True) + U(len(w)) * _SHORT)[0]
+        out[off[i]] = mix((w * _PLACE[: len(w)]).sum(dtype=np.uint64, keepdims=True) + U(len(w) * int(_SHORT) % 2**64))[0]
     return out, off
 
 

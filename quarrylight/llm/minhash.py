@@ -45,7 +45,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     while len(empty):
         attempt += 1
         base, b = empty // BINS * BINS, empty % BINS
-        pick = mix(b.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(attempt) * U(0xC2B2AE3D27D4EB4F))
+        pick = mix(b.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(attempt * 0xC2B2AE3D27D4EB4F % 2**64))
         src = base + (pick % U(BINS)).astype(np.int64)
         good = full[src]
         sig[empty[good]] = sig[src[good]]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .fingerprint import compare_with_edited
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -47,3 +48,7 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_docs(spark, sf), "word_bpe_49k.json", end=1)
+
+
+def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return compare_with_edited(_docs(spark, sf))
