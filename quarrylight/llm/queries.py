@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .pfor import round_trip
 from .token_counts import count_tokens
+from .toxicity import fit, held_out, score_documents
 
 
 def _docs(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -52,3 +53,10 @@ def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return compare_with_edited(_docs(spark, sf))
+
+
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    out = score_documents(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
