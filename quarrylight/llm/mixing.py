@@ -65,7 +65,7 @@ def bisect_exponent(shares: DataFrame, max_repeat: float | None, target_entropy:
 
 
 def mix_sources(
-    docs: DataFrame, max_repeat: float | None = 2.0, target_entropy: float | None = None, seed: int = 17, block_docs: int = 16384
+    docs: DataFrame, max_repeat: float | None = 2.0, target_entropy: float | None = None, seed: int = 17, block_docs: int = 2048
 ) -> DataFrame:
     """One row for each time a document is read, with its place in the mixture.
 
