@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,12 @@ class Scratch:
             remove(self.spark, self.path(n))
 
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what is no longer referred to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pfor import round_trip
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import fit, held_out, score_documents
 
@@ -60,3 +61,8 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     out = score_documents(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = remove_repeats(_docs(spark, sf))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

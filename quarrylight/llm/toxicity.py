@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, without
 from .kernels import U, _BASE, _BYTE, _INV, _power, chunks, mix, utf8_batch, word_hashes
 
 TABLE = 1 << 18
@@ -331,12 +331,20 @@ def _score(m: Model, spans: bool):
     return f
 
 
-def score_documents(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
-    """doc_id, score (0 to 1), spans (start, end in code points; p) of every row of docs (doc_id, text; other columns are ignored).
+def score_documents(docs: DataFrame, model: Model, spans: bool = True, carry: bool = False) -> DataFrame:
+    """doc_id, score (0 to 1), spans (start, end in code points; p) of every row of docs (doc_id, text).
+
+    Other columns are left out; with carry all of docs' columns are kept as they are, and score and spans replace those of these names.
 
     A null or empty text has no spans and the score of a text without toxic words. Rows with a null or repeated doc_id
     are scored each by its own text. An empty table gives an empty result.
     """
     need(docs, "doc_id", "text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_score(model, spans), f"doc_id long, score double, spans {SPANS}")
+    if not carry:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return rows.mapInArrow(_score(model, spans), f"doc_id long, score double, spans {SPANS}")
+    rows = without(docs, "score", "spans")
+    rows = rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("doc_id"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(_score(model, spans), f"doc_id {kind}, score double, spans {SPANS}")
+    return out.select("doc_id.*", "score", "spans")
