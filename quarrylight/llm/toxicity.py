@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import need, without
 from .kernels import U, _BASE, _BYTE, _INV, _power, chunks, mix, utf8_batch, word_hashes
@@ -316,7 +317,8 @@ def _score(m: Model, spans: bool):
 
     def f(batches):
         for batch in batches:
-            data, off = utf8_batch(batch.column(1))
+            whole = batch.num_columns == 1  # rows as they are, the text within
+            data, off = utf8_batch(batch.column(0).field("text") if whole else batch.column(1))
             for a, b in chunks(off):
                 d, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 if m.constant is not None:
@@ -344,7 +346,7 @@ def score_documents(docs: DataFrame, model: Model, spans: bool = True, carry: bo
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         return rows.mapInArrow(_score(model, spans), f"doc_id long, score double, spans {SPANS}")
     rows = without(docs, "score", "spans")
-    rows = rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("doc_id"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_score(model, spans), f"doc_id {kind}, score double, spans {SPANS}")
+    rows = rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("doc_id"))
+    kind = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("spans", T._parse_datatype_string(SPANS))])
+    out = rows.mapInArrow(_score(model, spans), kind)
     return out.select("doc_id.*", "score", "spans")
