@@ -4,8 +4,8 @@ Texts with equal shingle sets are one node. Each node has one signature: its shi
 their leading bits and the least of each bin is kept; an empty bin borrows from a bin that a universal hash of
 (bin, attempt) picks, until it meets one that is not empty. Nodes that agree on a band of the signature share a
 bucket. A bucket proposes a star - its smallest node with every other one - and each proposal is confirmed on the full
-sets. Buckets whose nodes then still lie in several components are taken further: small ones compare the rest of
-their pairs, large ones are split by a second band. Links are closed by label propagation in written tables.
+sets. Buckets whose nodes then still lie in several components are taken further: if few pairs across components
+are left for each node, these are compared; else the bucket is split by a second band. Links are closed by label propagation in written tables.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .kernels import U, mix, overlap, text_sets
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
-#: A bucket of so many nodes compares what its star left open pair by pair; a larger one is split first.
-SMALL = 32
+#: A bucket whose star left at most so many pairs a node open compares them one by one; another is split first.
+LOAD = 64
 #: So many times buckets are split; what is left then is compared pair by pair, whatever its size.
 DEPTH = 4
 _PLACE = np.random.default_rng(7).integers(1, 2**63, BINS, dtype=np.uint64) * U(2) + U(1)
@@ -198,15 +198,17 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         comp = components(links, nodes, scratch, f"c{depth}")
         label = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
         rows = buckets.select("key", "node", "n").join(label, "node")
-        mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        open_rows = scratch.keep(rows.join(mixed.select("key", "size"), "key"), f"open{depth}")
-        small = open_rows.filter(F.col("size") <= SMALL) if depth < DEPTH else open_rows  # the exact way for what splits could not part
+        sides = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("side")).groupBy("key")
+        mixed = sides.agg(F.sum("side").alias("size"), F.sum(F.col("side") * F.col("side")).alias("within"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        few = (F.col("size") * F.col("size") - F.col("within")) / 2 <= LOAD * F.col("size")
+        open_rows = scratch.keep(rows.join(mixed.select("key", "size", few.alias("few")), "key"), f"open{depth}")
+        small = open_rows.filter("few") if depth < DEPTH else open_rows  # the exact way for what splits could not part
         a, b = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
         pairs = a.join(b, "key").filter("node_a < node_b AND comp_a <> comp_b").filter(could(F.col("n_a"), F.col("n_b"), num, den))
         pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         links = links.union(confirmed(pairs, f"small{depth}"))
         tried = tried.union(scratch.spark.read.parquet(scratch.path(f"small{depth}-pairs")))
-        large = open_rows.filter(F.col("size") > SMALL).select("key", "node")
+        large = open_rows.filter("NOT few").select("key", "node")
         if depth == DEPTH or large.limit(1).count() == 0:
             break
         split = large.join(nodes, "node").select("node", "n", "bands", "key").mapInArrow(_explode(True), "key long, node long, n long")
