@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,13 @@ from pyspark.sql import functions as F
 from .common import need
 from .tokens import encoder, vocabulary_path
 
-SENTENCE, ANYWHERE = 2, 12
+SENTENCE, ANYWHERE = 2, 8
 #: Ids that are solved at a time; the last windows of a stretch are solved again with the next one.
 STRETCH, AGAIN = 1 << 18, 8
+#: Every so many sentence ends also offer the place a whole window later, where a window has no padding.
+THIN = 3
+#: Shorter windows than this share of the size are not cut for being a power of two, but at a stream's end.
+SHORT = 16
 
 
 def sentence_ends(path: str) -> np.ndarray:
@@ -40,48 +43,62 @@ def sentence_ends(path: str) -> np.ndarray:
 
 def cut_places(ends: np.ndarray, doc_ends: np.ndarray, n: int, size: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut is considered, ascending from 0 to n, and what each costs. ends, doc_ends: places after a sentence, a document."""
-    soft = np.union1d(np.union1d([0], ends), np.union1d(doc_ends, [n]))
-    hard = [soft + size]  # windows without padding from any of them
-    gap = np.diff(soft)
-    for a, b in zip(soft[:-1][gap > size // 4].tolist(), soft[1:][gap > size // 4].tolist()):
-        hard.append(np.arange(a, b, size // 4))
+    price = np.full(n + 1, -1)
+    soft = np.concatenate([[0], ends[ends < n]])
+    thin = soft[::THIN] + size
+    price[thin[thin < n]] = ANYWHERE
     if last:
-        hard.append(np.arange(max(0, n - size), n))
-    hard = np.concatenate(hard)
-    at = np.union1d(soft, hard[hard < n])
-    cost = np.full(len(at), ANYWHERE)
-    cost[np.searchsorted(at, soft)] = SENTENCE
-    cost[np.searchsorted(at, doc_ends)] = 0
-    cost[0] = cost[-1] = 0
-    return at, cost
+        price[max(0, n - size) :] = ANYWHERE
+    price[soft] = SENTENCE
+    price[doc_ends] = 0
+    price[[0, n]] = 0
+    at = np.flatnonzero(price >= 0)
+    wide = np.flatnonzero(np.diff(at) > size // 4)
+    if len(wide):
+        for a, b in zip(at[wide].tolist(), at[wide + 1].tolist()):
+            price[a + size // 4 : b : size // 4] = ANYWHERE
+        at = np.flatnonzero(price >= 0)
+    return at, price[at]
 
 
 def solve(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     """The cheapest cuts, as ascending places that end with the last one."""
+    n = len(at)
+    end = int(at[-1])
+    # for each place, the places that lie a power of two before it
+    to, since = [], []
+    k = 1
+    while k < size:
+        j = np.arange(n) if k >= size // SHORT else np.flatnonzero(at > end - size)
+        h = np.minimum(np.searchsorted(at, at[j] - k), n - 1)
+        hit = at[h] == at[j] - k
+        to.append(j[hit])
+        since.append(h[hit])
+        k *= 2
+    to, since = np.concatenate(to), np.concatenate(since)
+    order = np.argsort(to, kind="stable")
+    since = since[order].tolist()
+    upto = np.searchsorted(to[order], np.arange(n), side="right").tolist()
     place, price = at.tolist(), cost.tolist()
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
-    number = {p: i for i, p in enumerate(place)}
-    find = number.get
-    best, back = [0] * len(place), [0] * len(place)
-    queue: deque = deque([0])
-    key = [0] * len(place)
-    for j in range(1, len(place)):
+    best, back, key = [0] * n, [0] * n, [0] * n
+    queue, head = [0], 0  # places of ascending key; what lies before head is too far away
+    for j in range(1, n):
         p = place[j]
-        while place[queue[0]] < p - size:
-            queue.popleft()
-        i = queue[0]
-        least = key[i] + size - p
-        for k in powers:
-            h = find(p - k)
-            if h is not None and best[h] < least:
+        far = p - size
+        while place[queue[head]] < far:
+            head += 1
+        i = queue[head]
+        least = key[i] - far
+        for h in since[upto[j - 1] : upto[j]]:
+            if best[h] < least:
                 least, i = best[h], h
         best[j] = least = least + price[j]
         back[j] = i
         key[j] = least = least + p
-        while queue and key[queue[-1]] >= least:
+        while len(queue) > head and key[queue[-1]] >= least:
             queue.pop()
         queue.append(j)
-    out, j = [], len(place) - 1
+    out, j = [], n - 1
     while j:
         out.append(place[j])
         j = back[j]
