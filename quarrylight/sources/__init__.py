@@ -1 +1,51 @@
-"""sources of the engine."""
+"""Readers with declared schemas that fail on what they do not know."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON under a declared schema; a record that does not parse aborts the read (SRC-01, SRC-16)."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+
+
+def read_optional(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
+    """A table, or an empty one if the path is not there; any other error stays an error (SRC-02)."""
+    try:
+        return spark.read.schema(schema).format(format).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def pages(df: DataFrame, key: str, text: str, separator: str = "\f") -> DataFrame:
+    """key, page (from 1), body of texts whose pages a separator parts (SRC-03)."""
+    return df.select(key, F.posexplode(F.split(text, separator, -1)).alias("__p", "body")).select(key, (F.col("__p") + 1).cast("long").alias("page"), "body")
+
+
+def read_paged_text(spark: SparkSession, path: str) -> DataFrame:
+    """Whole text files, their pages parted by form feeds."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return pages(files, "file", "text")
+
+
+def read_page_directory(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+    """document, page, sha256, content of <document>/pages/<number>/<file> trees (SRC-04, SRC-05, SRC-13)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    part = r"([^/]+)/pages/([0-9]+)/[^/]+$"
+    return files.select(F.regexp_extract("path", part, 1).alias("document"), F.regexp_extract("path", part, 2).cast("int").alias("page"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+
+
+def links(df: DataFrame, key: str, html: str) -> DataFrame:
+    """key, href of every link of a page, without query and fragment (SRC-07)."""
+    return df.select(key, F.explode(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"#?]+)"'), F.lit(1))).alias("href"))
+
+
+def download_ranges(spark: SparkSession, size: int, done: DataFrame, step: int = 16 << 20) -> DataFrame:
+    """start, end of the byte ranges that are still to fetch (SRC-11); done: start."""
+    every = spark.range(0, max(size, 0), step).select(F.col("id").alias("start"), F.least(F.col("id") + step, F.lit(size)).alias("end"))
+    return every.join(done.select("start"), "start", "left_anti")
