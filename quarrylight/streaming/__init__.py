@@ -1 +1,165 @@
-"""streaming of the engine."""
+"""Stateful behaviours: rate limits, retries, stalls, alerts, windows - as Structured Streaming and as batch twins."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.window import Window
+
+#: Minutes until the next attempt, by failures so far, and the failures that quarantine.
+DELAYS, QUARANTINE = (10, 30, 120, 360), 5
+
+
+def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
+    """A file stream with ts as an instant, which a watermark needs."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a stream reads folders
+        folder, _, name = path.rpartition("/")
+        read, path = read.option("pathGlobFilter", name), folder
+    df = read.parquet(path)
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# --- rate limits (STR-01) ------------------------------------------------------------------------
+
+
+def window_counts(events: DataFrame, keys, seconds: int, watermark: str | None = None) -> DataFrame:
+    """Events of a key in epoch-aligned windows; the same for a batch and for a stream."""
+    if watermark and events.isStreaming:
+        events = events.withWatermark("ts", watermark)
+    g = events.groupBy(F.window("ts", f"{seconds} seconds"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.unix_timestamp("window.start").alias("window_start"), *keys, "n")
+
+
+def rate_verdicts(events: DataFrame, keys, order, limit: int, seconds: int) -> DataFrame:
+    """Each event, whether its window had room for it: the first `limit` of a key and window are accepted."""
+    start = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds) * seconds).cast("long")
+    w = Window.partitionBy(*keys, start).orderBy(*order)
+    return events.withColumn("accepted", F.row_number().over(w) <= limit)
+
+
+def sliding_counts(events: DataFrame, keys, length: str, step: str) -> DataFrame:
+    """An extra of the engine: overlapping windows."""
+    return events.groupBy(F.window("ts", length, step), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def sessions(events: DataFrame, keys, gap: str) -> DataFrame:
+    """An extra of the engine: sessions that a gap ends."""
+    return events.groupBy(F.session_window("ts", gap), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
+
+
+# --- retries (STR-02, STR-03) --------------------------------------------------------------------
+
+
+def next_retry(attempts: Column, failed_at: Column) -> tuple[Column, Column]:
+    """When to try again after so many failures, and whether to give up; a quarantined task has no next time."""
+    delay = F.element_at(F.array(*map(F.lit, DELAYS)), F.least(attempts, F.lit(len(DELAYS))).cast("int"))
+    gone = attempts >= QUARANTINE
+    return F.when(~gone, failed_at + F.make_dt_interval(mins=delay)), gone
+
+
+RETRY_OUT = "key string, attempts int, next_retry_at timestamp, quarantined boolean"
+RETRY_STATE = "attempts int, quarantined boolean"
+
+
+def _retry(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    attempts, gone = state.get if state.exists else (0, False)
+    at = None
+    for pdf in batches:
+        for ts, ok in sorted(zip(pdf["ts"], pdf["ok"])):
+            if ok:
+                attempts, gone, at = 0, False, None
+            elif not gone:
+                attempts += 1
+                gone = attempts >= QUARANTINE
+                at = None if gone else ts + pd.Timedelta(minutes=DELAYS[min(attempts, len(DELAYS)) - 1])
+    state.update((attempts, gone))
+    yield pd.DataFrame({"key": [key[0]], "attempts": [attempts], "next_retry_at": [at], "quarantined": [gone]})
+
+
+def retry_states(outcomes: DataFrame) -> DataFrame:
+    """key, ts, ok as a stream -> the retry record of each key after each batch; a success clears it."""
+    return outcomes.groupBy("key").applyInPandasWithState(_retry, RETRY_OUT, RETRY_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def retry_ledger(outcomes: DataFrame) -> DataFrame:
+    """The batch twin: failures since the last success of each key."""
+    w = Window.partitionBy("key")
+    last_ok = F.max(F.when(F.col("ok"), F.col("ts"))).over(w)
+    since = outcomes.withColumn("last_ok", last_ok)
+    fails = since.groupBy("key").agg(F.count_if(~F.col("ok") & (F.col("last_ok").isNull() | (F.col("ts") > F.col("last_ok")))).cast("int").alias("raw"), F.array_sort(F.collect_list(F.when(~F.col("ok") & (F.col("last_ok").isNull() | (F.col("ts") > F.col("last_ok"))), F.col("ts")))).alias("times"))
+    attempts = F.least("raw", F.lit(QUARANTINE))
+    at, gone = next_retry(attempts, F.try_element_at("times", attempts))
+    return fails.select("key", attempts.alias("attempts"), F.when(attempts > 0, at).alias("next_retry_at"), gone.alias("quarantined"))
+
+
+def pending(expected: DataFrame, completed: DataFrame, blocked: DataFrame, keys, limit: int) -> DataFrame:
+    """The first tasks, in order, that are neither completed nor blocked."""
+    return expected.join(completed, keys, "left_anti").join(blocked, keys, "left_anti").orderBy(*keys).limit(limit)
+
+
+# --- monitors and alerts (STR-05..09) ------------------------------------------------------------
+
+RANK = {"ok": 0, "warning": 1, "stalled": 2, "blocked": 3}
+
+
+def severity(codes: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """The gravest severity of a key's codes, each code once (STR-07). codes: key, code; rules: code, severity."""
+    rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
+    j = codes.select(key, "code").distinct().join(rules, "code", "left").withColumn("severity", F.coalesce("severity", F.lit("ok")))
+    return j.groupBy(key).agg(F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("severity"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+
+
+def health(df: DataFrame) -> DataFrame:
+    """Ordered rules over a status row: the first that holds decides the action and the exit code (STR-05)."""
+    a = F.when(F.col("failed") > 0, F.struct(F.lit("halt").alias("action"), F.lit(2).alias("exit_code")))
+    a = a.when(F.col("pending") == 0, F.struct(F.lit("done").alias("action"), F.lit(0).alias("exit_code")))
+    a = a.when(F.col("age") > 600, F.struct(F.lit("restart").alias("action"), F.lit(1).alias("exit_code")))
+    a = a.otherwise(F.struct(F.lit("continue").alias("action"), F.lit(0).alias("exit_code")))
+    return df.withColumn("__a", a).select(*df.columns, "__a.action", "__a.exit_code")
+
+
+def alert_epochs(states: DataFrame, key: str, order) -> DataFrame:
+    """key, codes, ok in order -> the alerts to send: one for each fingerprint and epoch, a recovery begins a new epoch (STR-09)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    before = F.coalesce(F.lag("ok").over(w), F.lit(True))
+    recovered = F.sum((F.col("ok") & ~before).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    e = states.withColumn("epoch", F.coalesce(recovered, F.lit(0))).filter("NOT ok")
+    first = Window.partitionBy(key, "codes", "epoch").orderBy(*order)
+    e = e.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return e.withColumn("fingerprint", F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), "codes", F.col("epoch").cast("string")).cast("binary"), 256), 1, 24))
+
+
+def dedupe_stream(events: DataFrame, keys, within: str) -> DataFrame:
+    """The stateless-epoch part of alert dedupe, on a stream."""
+    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(list(keys))
+
+
+# --- exactly once (STR-10, STR-15) ---------------------------------------------------------------
+
+
+class Receipts:
+    """A sink for foreachBatch that writes a chunk once: its receipt is part of the chunk's folder name."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        # a repeated batch overwrites its own folder, so it is there once
+        df.write.mode("overwrite").parquet(f"{self.path}/chunk={batch}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+
+def check_bijection(asked: DataFrame, answered: DataFrame, key: str) -> DataFrame:
+    """Results that are unknown, missing or there twice (STR-11); must be empty."""
+    a = answered.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    j = asked.select(key).distinct().withColumn("__asked", F.lit(True)).join(a, key, "full_outer")
+    problem = F.when(F.col("__asked").isNull(), "unknown").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
+    return j.select(key, problem.alias("problem")).filter("problem IS NOT NULL")
