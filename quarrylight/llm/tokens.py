@@ -68,7 +68,7 @@ class Encoder:
         """A unit's key is the piece: after a space stands at the head of a text, after a line feed at that of a line, the others follow a space."""
         texts = [u[1:] if u[:1] == " " else u if u[:1] == "\n" else f" {u}" for u in units] if self.spaced else units
         mark = self.part.strip(" ")
-        plain = [not (mark in x or "<" in x) for x in texts]
+        plain = [bool(x.strip()) and not (mark in x or "<" in x) for x in texts]
         order = [i for i, p in enumerate(plain) if p]
         runs = [order[i : i + 2000] for i in range(0, len(order), 2000)]
         flat, sizes = [], []
