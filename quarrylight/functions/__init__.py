@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Punctuation before which no space stands (CJK marks).
 CJK_MARKS = "，。；：、！？）】》"
@@ -226,7 +227,7 @@ def stable_json(*cols: str) -> Column:
 # Arrow-batched, where the JVM has no such function
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; null stays null."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -235,7 +236,7 @@ def nfkc(s: pd.Series) -> pd.Series:
 def hmac_sha256(key: str):
     """HMAC-SHA-256 in hex under a fixed key (SCA-20)."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda x: _hmac.new(key.encode(), x.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
 
@@ -245,7 +246,7 @@ def hmac_sha256(key: str):
 _MARKUP = re.compile(r"<[^>]+>|[#*_`|>-]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_ocr(s: pd.Series) -> pd.Series:
     """Markup off, NFKC, letters and digits only, lower case (SCA-15)."""
     def f(x: str) -> str:
