@@ -340,10 +340,10 @@ def win12_round_robin(s, d):
     return T(s, d, "part").filter("p_size = 10").select("p_brand", "p_partkey", (F.row_number().over(w) - 1).cast("long").alias("turn"))
 
 
-@q("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 3) AS mean FROM events")
+@q("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 2) AS total FROM events")
 def win13_ring(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-119, 0)
-    return T(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 3).alias("mean"))
+    return T(s, d, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("total"))
 
 
 @q("""WITH f AS (SELECT user_id, event_id, ts, (value < 20) AS stale, sum((value >= 20)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)
