@@ -18,32 +18,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import need, without
-from .kernels import U, _BASE, _BYTE, _INV, _power, chunks, mix, utf8_batch, word_hashes
+from .kernels import U, _BASE, _BYTE, _INV, _power, chunks, mix, text_sets, utf8_batch, word_hashes
 
-TABLE = 1 << 18
+TABLE = 1 << 22
 BEGINNINGS = (3, 4, 5, 6)
 #: Words of a sentence that form one chain; a longer sentence is several.
 CHAIN = 64
 #: A feature marks toxic words if chance would deal its documents so unevenly less often than exp(-EVIDENCE).
-EVIDENCE = 8.0
+EVIDENCE = 10.0
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of tag 1, one a hashed feature
+    """places of the features that have a weight, the upper bits of their hashes, by which others at a place are told from them, and the weights of tag 1."""
+
+    places: np.ndarray
+    checks: np.ndarray
+    weights: np.ndarray
     bias: float
     edges: np.ndarray  # 2 x 2 potentials, logarithms
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)  # intercept, of log(1 + sum), of the largest marginal
     constant: float | None = None  # the score of every text, where there was nothing to learn
     notes: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.check, self.weight = np.zeros(TABLE, np.uint32), np.zeros(TABLE, np.float32)
+        self.check[self.places], self.weight[self.places] = self.checks, self.weights
+
+    def __reduce__(self):  # the tables are made anew where the model arrives
+        return Model, (self.places, self.checks, self.weights, self.bias, self.edges, self.curve, self.constant, self.notes)
+
 
 class Words:
-    """The words of a chunk of texts: hashed features, place of each, and the chains they form."""
+    """The words of a chunk of texts: hashed features, place of each, and the chains they form.
+
+    With check, a feature that another one of its place was learnt for is none (0).
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, check: np.ndarray | None = None):
         h, self.starts, self.at = word_hashes(data, offsets)
         n = len(h)
         total = np.zeros(len(data) + 1, np.uint64)
@@ -53,13 +67,14 @@ class Words:
         run = np.ones(n, bool)
         self.ends = _ends(space, self.starts, offsets, len(data))
         self.features = np.zeros((1 + len(BEGINNINGS), n), np.int32)
-        self.features[0] = (h % U(TABLE - 1)).astype(np.int32) + 1
+        self.checks = np.zeros((1 + len(BEGINNINGS), n), np.uint32) if check is None else None
+        self._place(0, slice(None), h, check)
         size = self.ends - self.starts
         for i, k in enumerate(BEGINNINGS, 1):
             run = size >= k
             s = self.starts[run]
             f = mix((total[s + k] - total[s]) * inv[run] + U(k * 0x9E3779B97F4A7C15 % 2**64))
-            self.features[i, run] = (f % U(TABLE - 1)).astype(np.int32) + 1  # 0: the word is shorter
+            self._place(i, run, f, check)  # elsewhere 0: the word is shorter
         # a chain ends with a text, with a sentence and after CHAIN words
         first = np.zeros(n, bool)
         if n:
@@ -72,10 +87,17 @@ class Words:
         self.heads = np.flatnonzero(first)
         self.sizes = np.diff(np.append(self.heads, n))
 
+    def _place(self, i: int, which, h: np.ndarray, check) -> None:
+        at, upper = (h & U(TABLE - 1)).astype(np.int32), (h >> U(32)).astype(np.uint32) | np.uint32(1)
+        if check is None:
+            self.features[i, which], self.checks[i, which] = at, upper
+        else:
+            self.features[i, which] = np.where(check[at] == upper, at, 0)
+
     def emissions(self, m: Model) -> np.ndarray:
         e = np.full(self.features.shape[1], m.bias)
         for f in self.features:
-            e += m.weights[f]
+            e += m.weight[f]
         return e
 
 
@@ -165,25 +187,46 @@ def _curve(total, most, m: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-(a + b * np.log1p(total) + c * most)))
 
 
+def unlike(texts: pa.Array, most: float = 0.3) -> np.ndarray:
+    """Places of the texts of which at most that share of the 5-word shingles stands in an earlier one: copies are no further evidence."""
+    sets = list(text_sets(texts))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    whose = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    h = np.concatenate([np.zeros(0, np.uint64), *sets])
+    del sets
+    order = np.argsort(h, kind="stable")
+    h, whose = h[order], whose[order]
+    seen = np.bincount(whose[1:][h[1:] == h[:-1]], minlength=len(sizes))
+    return np.flatnonzero(seen <= most * np.maximum(sizes, 1))
+
+
 def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float] = (1.0, 1.0), steps: int = 60, seed: int = 5) -> Model:
-    """texts and their labels (0 or 1) in memory: the bounded sample."""
+    """texts and their labels (0 or 1) in memory: the bounded sample. Near copies of earlier texts in it are left out."""
+    kept = unlike(texts)
+    texts, labels = texts.take(pa.array(kept)), labels[kept]
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
-    empty = Model(np.zeros(TABLE), -5.0, np.zeros((2, 2)))
+    none = np.zeros(0, np.int64)
     if not n1 or not n0:
-        empty.constant = 0.5 if not n1 + n0 else float(n1 > 0)
-        return empty
+        return Model(none, none, none, -5.0, np.zeros((2, 2)), constant=0.5 if not n1 + n0 else float(n1 > 0))
     data, off = utf8_batch(texts)
-    parts = [Words(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off)]
-    docs, toxic_of, k = np.zeros((2, TABLE)), [], 0
-    for w in parts:
-        n = len(w.at) - 1
-        whose = np.repeat(np.arange(n), np.diff(w.at))
-        y = labels[k : k + n]
-        k += n
-        toxic_of.append(y[whose] == 1)
-        for f in w.features:
-            pair = np.unique(whose.astype(np.int64) * TABLE + f)
-            np.add.at(docs, (y[pair // TABLE], pair % TABLE), 1)
+    spans = list(chunks(off))
+
+    def parts(check=None):
+        """The words of the texts, chunk by chunk and made anew each time, so that one chunk is held."""
+        for a, b in spans:
+            yield Words(data[off[a] : off[b]], off[a : b + 1] - off[a], check), labels[a:b]
+
+    docs, check = np.zeros((2, TABLE), np.int32), np.zeros(TABLE, np.uint32)
+    for value in (0, 1):  # where features share a place, it is a toxic text's
+        for w, y in parts():
+            whose = np.repeat(np.arange(len(y)), np.diff(w.at))
+            mine = (y == value)[whose]
+            for f, u in zip(w.features, w.checks):
+                check[f[mine]] = u[mine]
+                pair = np.unique(whose[mine].astype(np.int64) * TABLE + f[mine])
+                docs[value] += np.bincount(pair % TABLE, minlength=TABLE).astype(np.int32)
+    check[docs.sum(axis=0) < 2] = 0
+    check[0] = 0
     t, c = docs[1], docs[0]
     both = np.maximum(t + c, 1)
     p0, x = n1 / (n1 + n0), t / both
@@ -194,14 +237,14 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
     # chains with a marked word, and twice as many others
     rng = np.random.default_rng(seed)
     e_at, gold = [], []
-    for w, toxic in zip(parts, toxic_of):
-        tag = toxic & marks[w.features].any(axis=0)
+    for w, y in parts(check):
+        tag = np.repeat(y == 1, np.diff(w.at)) & marks[w.features].any(axis=0)
         has = np.add.reduceat(tag, w.heads) > 0 if len(w.heads) else np.zeros(0, bool)
         others = np.flatnonzero(~has)
         pick = np.concatenate([np.flatnonzero(has), rng.permutation(others)[: 2 * int(has.sum()) + 50]])
         for r in pick.tolist():
             s, e = w.heads[r], w.heads[r] + w.sizes[r]
-            e_at.append(w.features[:, s:e])
+            e_at.append(w.features[:, s:e].copy())
             gold.append(tag[s:e])
     order = sorted(range(len(gold)), key=lambda i: len(gold[i]))[:60000]
     sizes = np.array([len(gold[i]) for i in order])
@@ -217,7 +260,6 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
     inner[heads] = False
     i = np.flatnonzero(inner)
     np.add.at(want, (tags[i - 1].astype(int), tags[i].astype(int)), 1)
-    m = Model(np.zeros(TABLE), -2.0, np.zeros((2, 2)))
     used = np.unique(feats)
     used = used[used > 0]
     slot = np.zeros(TABLE, np.int64)
@@ -244,10 +286,9 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
         grad -= 0.1 * theta
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         theta += 0.3 * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-6)
-    m.weights[used] = theta[1 : len(used) + 1]
-    m.bias, m.edges = float(theta[len(used) + 1]), theta[-4:].reshape(2, 2).copy()
+    m = Model(used, check[used], theta[1 : len(used) + 1].copy(), float(theta[len(used) + 1]), theta[-4:].reshape(2, 2).copy())
     # the curve, on documents, with the sample's classes weighted back to their share
-    got = [_sums(w, marginals(w, m)) for w in parts]
+    got = [_sums(w, marginals(w, m)) for w, _ in parts(m.check)]
     x = np.stack([np.ones(len(labels)), np.log1p(np.concatenate([g[0] for g in got])), np.concatenate([g[1] for g in got])], axis=1)
     wt = np.where(labels == 1, class_weight[1], class_weight[0])
     wt = wt / wt.mean()
@@ -270,7 +311,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 8000, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 6000, max_chars: int = 20_000) -> Model:
     """Train on at most max_toxic and max_clean labelled documents, the first ones by a hash of their id, and max_chars of each text.
 
     labels: doc_id, toxic. A document that is labelled more than once is toxic if one of its labels says so; null labels
@@ -324,7 +365,7 @@ def _score(m: Model, spans: bool):
                 if m.constant is not None:
                     score, found = np.full(b - a, m.constant), [[]] * (b - a)
                 else:
-                    w = Words(d, o)
+                    w = Words(d, o, m.check)
                     p = marginals(w, m)
                     score = _curve(*_sums(w, p), m)
                     found = _spans(d, o, w, p, 0.5) if spans else [[]] * (b - a)
