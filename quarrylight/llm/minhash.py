@@ -4,8 +4,11 @@ Texts with equal shingle sets are one node. Each node has one signature: its shi
 their leading bits and the least of each bin is kept; an empty bin borrows from a bin that a universal hash of
 (bin, attempt) picks, until it meets one that is not empty. Nodes that agree on a band of the signature share a
 bucket. A bucket proposes a star - its smallest node with every other one - and each proposal is confirmed on the full
-sets. Buckets whose nodes then still lie in several components are taken further: if few pairs across components
-are left for each node, these are compared; else the bucket is split by a second band. Links are closed by label propagation in written tables.
+sets. A bucket whose nodes then still lie in several components is open: it proposes CENTRES more stars, from nodes of
+its largest component. Where it stays open, the signatures of its nodes are held against each other within the
+task, and pairs across components that may be alike enough are confirmed as well; a bucket too large for that is split by a
+second band first. So pairs are only made where signatures are near, and no link within a bucket is lost. Links are closed
+by label propagation in written tables.
 """
 
 from __future__ import annotations
@@ -14,15 +17,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+from pyspark.sql.window import Window
 
-from .common import Scratch, need
+from .common import Scratch, need, partitions
 from .kernels import U, mix, overlap, text_sets
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
-#: A bucket whose star left at most so many pairs a node open compares them one by one; another is split first.
-LOAD = 64
-#: So many times buckets are split; what is left then is compared pair by pair, whatever its size.
+#: Further stars of a bucket that the first one left open.
+CENTRES = 6
+#: Nodes of a bucket whose signatures are compared in one task; a larger bucket is split first.
+HELD = 4096
+#: Bins of the finer sketch by which they are compared, one byte each, and what the similarity that a quarter of the bins and all
+#: of them show must fall short of for a pair to be dropped: some 4 standard deviations (at most 0.027 and 0.014).
+FINE, ROUGH_SLACK, FINE_SLACK = 1024, 0.12, 0.05
+#: Bits of the filter that keeps texts out of the exchange if no pair asks for them; its size does not grow.
+FILTER = 1 << 23
+#: So many times buckets are split; what is left then is compared whatever its size, block by block.
 DEPTH = 4
 _PLACE = np.random.default_rng(7).integers(1, 2**63, BINS, dtype=np.uint64) * U(2) + U(1)
 
@@ -59,6 +71,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(v + np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)).astype(np.int64)
 
 
+def fine_bins(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of FINE bytes a set: a hash of the least shingle hash of each bin, 0 if it has none."""
+    n = len(sets)
+    h = np.concatenate(sets)
+    at = np.repeat(np.arange(n), [len(s) for s in sets]) * FINE + ((h >> U(32)) * U(FINE) >> U(32)).astype(np.int64)
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    out = np.zeros(n * FINE, np.uint8)
+    out[at[first]] = (mix(h[first] ^ U(0x9FB21C651E98DF25)) % U(255)).astype(np.uint8) + 1
+    return out.reshape(n, FINE)
+
+
 def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that stand for a set."""
     a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -74,12 +97,13 @@ def _sketch(batches):
             part = sets[a : a + 512]
             d1, d2 = digests(part)
             some = [i for i, s in enumerate(part) if len(s)]
-            keys = np.zeros((len(part), BANDS), np.int64)
+            keys, bins = np.zeros((len(part), BANDS), np.int64), np.zeros((len(part), FINE), np.uint8)
             if some:
-                keys[some] = band_keys(signatures([part[i] for i in some]))
+                full = [part[i] for i in some]
+                keys[some], bins[some] = band_keys(signatures(full)), fine_bins(full)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                [ids.slice(a, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([k.tobytes() for k in bins], pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands", "bins"],
             )
 
 
@@ -123,6 +147,84 @@ def _confirm(num: int, den: int):
     return f
 
 
+def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den: int, block: int = 512):
+    """Places a < b of nodes of different components whose bins agree enough, block by block; a quarter of the bins decides first."""
+    rough, least = np.ascontiguousarray(bins[:, ::4]), num / den
+
+    def agree(x, y, slack):
+        return ((x == y) & (x > 0)).sum(axis=1) >= (least - slack) * ((x | y) > 0).sum(axis=1)
+
+    for a in range(0, len(bins), block):
+        for b in range(a, len(bins), block):
+            apart = comp[a : a + block, None] != comp[None, b : b + block]
+            lo, hi = np.minimum(n[a : a + block, None], n[None, b : b + block]), np.maximum(n[a : a + block, None], n[None, b : b + block])
+            i, j = np.nonzero(apart & (lo * den >= hi * num))
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 1 << 15):
+                u, v = i[k : k + (1 << 15)] + a, j[k : k + (1 << 15)] + b
+                hit = agree(rough[u], rough[v], ROUGH_SLACK)
+                u, v = u[hit], v[hit]
+                hit = agree(bins[u], bins[v], FINE_SLACK)
+                yield u[hit], v[hit]
+
+
+def _near(num: int, den: int):
+    """Rows in order of key -> pairs of a bucket's nodes that may be alike enough, each once a task."""
+
+    def f(batches):
+        seen: set = set()
+
+        def solve(rows):
+            node, comp, n, bins = zip(*rows)
+            node, comp, n = np.array(node), np.array(comp), np.array(n)
+            m = np.frombuffer(b"".join(bins), np.uint8).reshape(len(node), FINE)
+            out = set()
+            for i, j in near_pairs(m, comp, n, num, den):
+                a, b = np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()
+                out.update(zip(a, b))
+            out -= seen
+            if len(seen) < 500_000:
+                seen.update(out)
+            return out
+
+        now, rows = None, []
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp", "n", "bins"))):
+                if key != now:
+                    yield from _pairs(solve(rows) if rows else ())
+                    now, rows = key, []
+                rows.append(row)
+        yield from _pairs(solve(rows) if rows else ())
+
+    return f
+
+
+def _pairs(found):
+    if found:
+        a, b = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _wanted(nodes: DataFrame):
+    """A condition on a column of ids that holds for all of nodes and few others: a bitmap of FILTER bits over their hashes."""
+    h = F.pmod(F.xxhash64("node"), F.lit(FILTER))
+    got = nodes.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+    bits = np.zeros(FILTER + (1 << 15), bool)  # at most FILTER / 32768 rows of 4 kB
+    for r in got:
+        bits[(r["b"] - 1) << 15 : r["b"] << 15] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")[: 1 << 15]
+    packed = np.packbits(bits)
+
+    @F.arrow_udf(BooleanType())
+    def hit(x: pa.Array) -> pa.Array:
+        i = x.to_numpy()
+        return pa.array((packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1)
+
+    # bucket b holds the positions (b - 1) * 32768 + 1 to b * 32768, counted by bit from 0
+    pos = (F.expr("bitmap_bucket_number(pmod(xxhash64(node), %d)) - 1" % FILTER) * 32768 + F.expr("bitmap_bit_position(pmod(xxhash64(node), %d))" % FILTER)).cast("long")
+    return hit(pos)
+
+
 def could(n1: Column, n2: Column, num: int, den: int) -> Column:
     """Whether sets of these sizes can reach the similarity."""
     return F.least(n1, n2) * den >= F.greatest(n1, n2) * num
@@ -160,12 +262,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     null and it is kept. Rows that share a doc_id are placed each by its own text. An empty table gives an empty result.
     """
     need(docs, "doc_id", "text")
-    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-duplicates")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = "doc_id long, n_shingles long, d1 long, d2 long, bands binary"
+    kind = "doc_id long, n_shingles long, d1 long, d2 long, bands binary, bins binary"
     sketch = scratch.keep(base.mapInArrow(_sketch, kind), "sketch")
     sets = scratch.keep(sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "sets")
-    nodes = sketch.withColumnRenamed("doc_id", "node").join(sets.select("d1", "d2", "node", "n"), ["d1", "d2", "node"]).select("node", "n", "bands").dropDuplicates(["node"])
+    nodes = sketch.withColumnRenamed("doc_id", "node").join(sets.select("d1", "d2", "node", "n"), ["d1", "d2", "node"]).select("node", "n", "bands", "bins").dropDuplicates(["node"])
     nodes = scratch.keep(nodes, "nodes")
     texts = base.withColumnRenamed("doc_id", "node")
 
@@ -173,17 +276,30 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         """pairs: a, b distinct. The texts of both come to each pair; then the full sets decide."""
         pairs = scratch.keep(pairs, f"{name}-pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        some = scratch.keep(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-texts")
+        some = texts.filter("node IS NOT NULL").filter(_wanted(ends)).join(ends, "node", "left_semi").dropDuplicates(["node"])
+        some = scratch.keep(some, f"{name}-texts")
         full = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
         links = scratch.keep(full.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(num, den), "a long, b long"), f"{name}-links")
         scratch.drop(f"{name}-texts")
+        scratch.release()
         return links
 
+    def pairs_of(name: str) -> DataFrame:
+        return spark.read.schema("a long, b long").parquet(scratch.path(f"{name}-pairs"))
+
     def shared(rows: DataFrame, name: str) -> DataFrame:
         """Rows of buckets that hold several nodes."""
         many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
         return scratch.keep(rows.join(many, "key"), name)
 
+    def opened(buckets: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets whose nodes lie in several components, with these, the bucket's size and its largest component."""
+        comp = components(links, nodes, scratch, f"{name}-comp")
+        rows = buckets.select("key", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        sides = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("side")).groupBy("key")
+        mixed = sides.agg(F.sum("side").alias("size"), F.max(F.struct("side", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        return scratch.keep(rows.join(mixed.select("key", "size", F.col("top.comp").alias("main")), "key"), name)
+
     rows = nodes.mapInArrow(_explode(False), "key long, node long, n long")
     buckets = shared(rows, "buckets")
     sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
@@ -193,29 +309,32 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         return pairs.join(sizes, "a").filter(could(F.col("n"), F.col("n_a"), num, den)).select("a", "b")
 
     links = confirmed(star(buckets), "star")
-    tried = scratch.spark.read.parquet(scratch.path("star-pairs"))
+    tried = pairs_of("star")
     for depth in range(1, DEPTH + 1):
-        comp = components(links, nodes, scratch, f"c{depth}")
-        label = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        rows = buckets.select("key", "node", "n").join(label, "node")
-        sides = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("side")).groupBy("key")
-        mixed = sides.agg(F.sum("side").alias("size"), F.sum(F.col("side") * F.col("side")).alias("within"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        few = (F.col("size") * F.col("size") - F.col("within")) / 2 <= LOAD * F.col("size")
-        open_rows = scratch.keep(rows.join(mixed.select("key", "size", few.alias("few")), "key"), f"open{depth}")
-        small = open_rows.filter("few") if depth < DEPTH else open_rows  # the exact way for what splits could not part
-        a, b = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
-        pairs = a.join(b, "key").filter("node_a < node_b AND comp_a <> comp_b").filter(could(F.col("n_a"), F.col("n_b"), num, den))
-        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        links = links.union(confirmed(pairs, f"small{depth}"))
-        tried = tried.union(scratch.spark.read.parquet(scratch.path(f"small{depth}-pairs")))
-        large = open_rows.filter("NOT few").select("key", "node")
+        rows = opened(buckets, links, f"open{depth}")
+        # the CENTRES nodes of least hash of a bucket's largest component
+        top = rows.filter("comp = main").select("key", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a")).alias("c"))
+        rank = Window.partitionBy("key").orderBy("c")
+        top = top.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= CENTRES).select("key", "c.a", "c.n_a")
+        more = rows.filter("comp <> main").select("key", "node", "n").join(top, "key").filter(could(F.col("n"), F.col("n_a"), num, den))
+        more = more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.union(confirmed(more, f"stars{depth}"))
+        tried = tried.union(pairs_of(f"stars{depth}"))
+        rows = opened(buckets, links, f"left{depth}")
+        held = rows.filter(F.col("size") <= HELD) if depth < DEPTH else rows
+        held = held.select("key", "node", "comp", "n").join(nodes.select("node", "bins"), "node")
+        held = held.repartition(partitions(spark), "key").sortWithinPartitions("key")
+        near = held.select("key", "node", "comp", "n", "bins").mapInArrow(_near(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.union(confirmed(near, f"near{depth}"))
+        tried = tried.union(pairs_of(f"near{depth}"))
+        large = rows.filter(F.col("size") > HELD).select("key", "node")
         if depth == DEPTH or large.limit(1).count() == 0:
             break
         split = large.join(nodes, "node").select("node", "n", "bands", "key").mapInArrow(_explode(True), "key long, node long, n long")
         buckets = shared(split, f"buckets{depth}")
         again = star(buckets).join(tried, ["a", "b"], "left_anti")
         links = links.union(confirmed(again, f"star{depth}"))
-        tried = tried.union(scratch.spark.read.parquet(scratch.path(f"star{depth}-pairs")))
+        tried = tried.union(pairs_of(f"star{depth}"))
     comp = components(links, nodes, scratch, "end")
     placed = sketch.select("doc_id", "n_shingles", "d1", "d2").join(sets.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comp, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))

@@ -295,8 +295,8 @@ def test_minhash_opens_buckets(spark, monkeypatch):
     rows.append((100, " ".join(core)))
     want = brute.components(rows)
     assert 20 < len({c for _, c in want.values()}) < 60
-    for load in (64, 0.4):
-        monkeypatch.setattr(minhash, "LOAD", load)
+    for held in (4096, 4):
+        monkeypatch.setattr(minhash, "HELD", held)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
         assert got == want
     del rng
