@@ -297,6 +297,7 @@ def test_minhash_opens_buckets(spark, monkeypatch):
     assert 20 < len({c for _, c in want.values()}) < 60
     for held in (4096, 4):
         monkeypatch.setattr(minhash, "HELD", held)
+        monkeypatch.setattr(minhash, "DEPTH", 2)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
         assert got == want
     del rng
