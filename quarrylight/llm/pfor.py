@@ -180,8 +180,8 @@ def write_ids(docs: DataFrame, root: str, vocabulary: str, end: int, block: int
 
 
 def read_ids(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from files (file, base) alone."""
-    return files.repartition("file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of each document, from files (file, base) alone; a task reads the files of a partition."""
+    return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
@@ -193,4 +193,4 @@ def round_trip(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     for r in sorted(files.select("shard", "file", "n_ids").collect()):  # one row a file
         rows.append((r["file"], base))
         base += r["n_ids"]
-    return read_ids(spark.createDataFrame(rows, "file string, base long"))
+    return read_ids(spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows))))

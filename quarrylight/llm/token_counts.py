@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, need
+from .common import Scratch, need, partitions
 from .files import file_size, read_file, whole_file
 from .tokens import encoder
 
@@ -80,7 +80,7 @@ def scan_flat_files(files: DataFrame, end: int, width: int, block: int = BLOCK)
     step = block // width * width
     work = files.filter("bytes > 0").withColumn("offset", F.explode(F.expr(f"sequence(0L, bytes - 1, {step}L)")))
     work = work.select("file", "offset", F.least(F.lit(step), F.col("bytes") - F.col("offset")).alias("length"))
-    blocks = work.repartition("file", "offset").mapInArrow(_scan(end, width), "file string, first long, n_ids long, n_ends long, last_end long, ends array<long>")
+    blocks = work.repartition(partitions(files.sparkSession), "file", "offset").mapInArrow(_scan(end, width), "file string, first long, n_ids long, n_ends long, last_end long, ends array<long>")
     before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     stitched = blocks.select(
         "file", "first", "ends",
