@@ -94,10 +94,10 @@ def snk06_replace(s, d):
     return O.first_per_key(T(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", F.desc("o_orderkey"))
 
 
-@q("""WITH g AS (SELECT p_partkey, lower(substr(p_name, i, 3)) AS gram FROM part, unnest(range(1, 12)) t(i) WHERE length(substr(p_name, i, 3)) = 3) SELECT gram, count(DISTINCT p_partkey) AS rows, count(*) AS tf FROM g GROUP BY 1""")
+@q("""WITH g AS (SELECT p_partkey, lower(substr(p_name, i, 3)) AS gram FROM (SELECT p_partkey, p_name, unnest(range(1, greatest(length(p_name) - 1, 1))) AS i FROM part)) SELECT gram, count(DISTINCT p_partkey) AS rows, count(*) AS tf FROM g GROUP BY 1""")
 def snk10_trigram_index(s, d):
-    """The inverted index, recomputed from its base table (first 11 places of a name)."""
-    g = T(s, d, "part").select("p_partkey", F.explode(F.slice(X.grams(F.lower("p_name")), 1, 11)).alias("gram"))
+    """The inverted index, recomputed from its base table."""
+    g = T(s, d, "part").select("p_partkey", F.explode(X.grams(F.lower("p_name"))).alias("gram"))
     return g.groupBy("gram").agg(F.count_distinct("p_partkey").alias("rows"), n().alias("tf"))
 
 

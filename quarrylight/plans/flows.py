@@ -99,10 +99,10 @@ def str03_pending(s, d):
     return R.pending(T(s, d, "documents").select("doc_id"), lab.filter("toxic = 0").select("doc_id"), lab.filter("toxic = 1").select("doc_id"), ["doc_id"], 20)
 
 
-@q("SELECT p_partkey, CASE WHEN p_size < 5 THEN 1 WHEN p_size < 10 THEN 2 ELSE 3 END AS lane FROM part WHERE p_size < 20 ORDER BY lane, p_brand, p_partkey LIMIT 30")
+@q("SELECT p_partkey, CASE WHEN p_size < 5 THEN 1 WHEN p_size < 10 THEN 2 ELSE 3 END AS lane FROM part WHERE p_size < 20")
 def str04_scheduler(s, d):
     lane = F.when(F.col("p_size") < 5, 1).when(F.col("p_size") < 10, 2).otherwise(3)
-    return T(s, d, "part").filter("p_size < 20").select("p_partkey", lane.alias("lane"), "p_brand").orderBy("lane", "p_brand", "p_partkey").limit(30).drop("p_brand")
+    return T(s, d, "part").filter("p_size < 20").select("p_partkey", lane.alias("lane"), "p_brand").orderBy("lane", "p_brand", "p_partkey").drop("p_brand")
 
 
 @q("""WITH x AS (SELECT source, count(*) FILTER (WHERE toxic = 1) AS failed, count(*) FILTER (WHERE quality IS NULL) AS pending, max(n_chars) AS age FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)

@@ -465,16 +465,16 @@ def joi33_overlay(s, d):
 # --- sorts and sets ------------------------------------------------------------------------------
 
 
-@q("SELECT doc_id, coalesce(quality, 0)::INT AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY coalesce(quality, 0) DESC, doc_id LIMIT 50")
+@q("SELECT doc_id, coalesce(quality, 0)::INT AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY coalesce(quality, 0) DESC, doc_id")
 def srt01_coalesced_sort(s, d):
     j = T(s, d, "documents").select("doc_id").join(T(s, d, "labels"), "doc_id", "left")
-    return j.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality")).orderBy(F.desc("quality"), "doc_id").limit(50)
+    return j.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality")).orderBy(F.desc("quality"), "doc_id")
 
 
-@q("SELECT doc_id, lang FROM documents ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'es' THEN 2 ELSE 99 END, doc_id LIMIT 40")
+@q("SELECT doc_id, lang FROM documents ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'es' THEN 2 ELSE 99 END, doc_id")
 def srt02_custom_order(s, d):
     rank = F.array_position(F.array(F.lit("fr"), F.lit("es")), F.col("lang"))
-    return T(s, d, "documents").select("doc_id", "lang").orderBy(F.when(rank > 0, rank).otherwise(F.lit(99)), "doc_id").limit(40)
+    return T(s, d, "documents").select("doc_id", "lang").orderBy(F.when(rank > 0, rank).otherwise(F.lit(99)), "doc_id")
 
 
 @q("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'steel') ORDER BY (lower(p_type) = 'steel') DESC, p_type, p_size, p_partkey LIMIT 60")
@@ -500,10 +500,10 @@ def srt06_reading_order(s, d):
     return e.withColumn("reading", F.row_number().over(Window.orderBy("band", "x", "vec_id"))).select("vec_id", F.col("reading").cast("long").alias("reading"))
 
 
-@q("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS priority FROM orders ORDER BY priority, o_custkey, o_orderkey LIMIT 100""")
+@q("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS priority FROM orders ORDER BY priority, o_custkey, o_orderkey""")
 def srt07_priority_queue(s, d):
     p = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(3)
-    return T(s, d, "orders").select("o_orderkey", p.alias("priority"), "o_custkey").orderBy("priority", "o_custkey", "o_orderkey").limit(100).drop("o_custkey")
+    return T(s, d, "orders").select("o_orderkey", p.alias("priority"), "o_custkey").orderBy("priority", "o_custkey", "o_orderkey").drop("o_custkey")
 
 
 @q()
