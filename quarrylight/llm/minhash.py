@@ -292,9 +292,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
         return scratch.keep(rows.join(many, "key"), name)
 
-    def opened(buckets: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    def opened(buckets: DataFrame, comp: DataFrame, name: str) -> DataFrame:
         """Rows of the buckets whose nodes lie in several components, with these, the bucket's size and its largest component."""
-        comp = components(links, nodes, scratch, f"{name}-comp")
         rows = buckets.select("key", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sides = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("side")).groupBy("key")
         mixed = sides.agg(F.sum("side").alias("size"), F.max(F.struct("side", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
@@ -309,33 +308,40 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         return pairs.join(sizes, "a").filter(could(F.col("n"), F.col("n_a"), num, den)).select("a", "b")
 
     links = confirmed(star(buckets), "star")
+    comp = components(links, nodes, scratch, "star-comp")
     tried = pairs_of("star")
+
+    def joined(more: DataFrame, name: str) -> DataFrame:
+        """The components once more links are known; as they were if there are none."""
+        return components(links, nodes, scratch, f"{name}-comp") if more.limit(1).count() else comp
+
     for depth in range(1, DEPTH + 1):
-        rows = opened(buckets, links, f"open{depth}")
+        rows = opened(buckets, comp, f"open{depth}")
         # the CENTRES nodes of least hash of a bucket's largest component
         top = rows.filter("comp = main").select("key", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a")).alias("c"))
         rank = Window.partitionBy("key").orderBy("c")
         top = top.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= CENTRES).select("key", "c.a", "c.n_a")
         more = rows.filter("comp <> main").select("key", "node", "n").join(top, "key").filter(could(F.col("n"), F.col("n_a"), num, den))
         more = more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        links = links.union(confirmed(more, f"stars{depth}"))
-        tried = tried.union(pairs_of(f"stars{depth}"))
-        rows = opened(buckets, links, f"left{depth}")
+        new = confirmed(more, f"stars{depth}")
+        links, tried = links.union(new), tried.union(pairs_of(f"stars{depth}"))
+        comp = joined(new, f"stars{depth}")
+        rows = opened(rows, comp, f"left{depth}")
         held = rows.filter(F.col("size") <= HELD) if depth < DEPTH else rows
         held = held.select("key", "node", "comp", "n").join(nodes.select("node", "bins"), "node")
         held = held.repartition(partitions(spark), "key").sortWithinPartitions("key")
         near = held.select("key", "node", "comp", "n", "bins").mapInArrow(_near(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        links = links.union(confirmed(near, f"near{depth}"))
-        tried = tried.union(pairs_of(f"near{depth}"))
+        new = confirmed(near, f"near{depth}")
+        links, tried = links.union(new), tried.union(pairs_of(f"near{depth}"))
+        comp = joined(new, f"near{depth}")
         large = rows.filter(F.col("size") > HELD).select("key", "node")
         if depth == DEPTH or large.limit(1).count() == 0:
             break
         split = large.join(nodes, "node").select("node", "n", "bands", "key").mapInArrow(_explode(True), "key long, node long, n long")
         buckets = shared(split, f"buckets{depth}")
-        again = star(buckets).join(tried, ["a", "b"], "left_anti")
-        links = links.union(confirmed(again, f"star{depth}"))
-        tried = tried.union(pairs_of(f"star{depth}"))
-    comp = components(links, nodes, scratch, "end")
+        new = confirmed(star(buckets).join(tried, ["a", "b"], "left_anti"), f"star{depth}")
+        links, tried = links.union(new), tried.union(pairs_of(f"star{depth}"))
+        comp = joined(new, f"star{depth}")
     placed = sketch.select("doc_id", "n_shingles", "d1", "d2").join(sets.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comp, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
     return placed.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
