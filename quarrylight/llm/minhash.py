@@ -169,33 +169,34 @@ def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den:
                 yield u[hit], v[hit]
 
 
-def _near(num: int, den: int):
-    """Rows in order of key -> pairs of a bucket's nodes that may be alike enough, each once a task."""
+def _near(num: int, den: int, once: bool):
+    """Rows in order of key -> pairs of a bucket's nodes that may be alike enough.
 
-    def f(batches):
-        seen: set = set()
+    once: a pair is given only in the bucket of the first band on which its nodes agree, for all their buckets are here.
+    """
 
-        def solve(rows):
-            node, comp, n, bins = zip(*rows)
+    def f(batches):
+        def solve(key, rows):
+            node, comp, n, bins, bands = zip(*rows)
             node, comp, n = np.array(node), np.array(comp), np.array(n)
             m = np.frombuffer(b"".join(bins), np.uint8).reshape(len(node), FINE)
-            out = set()
+            keys = np.frombuffer(b"".join(bands), np.int64).reshape(len(node), BANDS)
+            out = []
             for i, j in near_pairs(m, comp, n, num, den):
-                a, b = np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()
-                out.update(zip(a, b))
-            out -= seen
-            if len(seen) < 500_000:
-                seen.update(out)
+                if once:
+                    first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
+                    i, j = i[first], j[first]
+                out += zip(np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist())
             return out
 
         now, rows = None, []
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp", "n", "bins"))):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp", "n", "bins", "bands"))):
                 if key != now:
-                    yield from _pairs(solve(rows) if rows else ())
+                    yield from _pairs(solve(now, rows) if rows else ())
                     now, rows = key, []
                 rows.append(row)
-        yield from _pairs(solve(rows) if rows else ())
+        yield from _pairs(solve(now, rows) if rows else ())
 
     return f
 
@@ -327,15 +328,16 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         links, tried = links.union(new), tried.union(pairs_of(f"stars{depth}"))
         comp = joined(new, f"stars{depth}")
         rows = opened(rows, comp, f"left{depth}")
+        large = rows.filter(F.col("size") > HELD).select("key", "node")
+        some_large = large.limit(1).count() > 0
         held = rows.filter(F.col("size") <= HELD) if depth < DEPTH else rows
-        held = held.select("key", "node", "comp", "n").join(nodes.select("node", "bins"), "node")
+        held = held.select("key", "node", "comp", "n").join(nodes.select("node", "bins", "bands"), "node")
         held = held.repartition(partitions(spark), "key").sortWithinPartitions("key")
-        near = held.select("key", "node", "comp", "n", "bins").mapInArrow(_near(num, den), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        near = held.select("key", "node", "comp", "n", "bins", "bands").mapInArrow(_near(num, den, depth == 1 and not some_large), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         new = confirmed(near, f"near{depth}")
         links, tried = links.union(new), tried.union(pairs_of(f"near{depth}"))
         comp = joined(new, f"near{depth}")
-        large = rows.filter(F.col("size") > HELD).select("key", "node")
-        if depth == DEPTH or large.limit(1).count() == 0:
+        if depth == DEPTH or not some_large:
             break
         split = large.join(nodes, "node").select("node", "n", "bands", "key").mapInArrow(_explode(True), "key long, node long, n long")
         buckets = shared(split, f"buckets{depth}")
