@@ -330,7 +330,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: in
     y = np.asarray(got.column("toxic").to_numpy(), np.int64)
     weight = tuple(size.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1))
     text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return train(text, y, weight)
+    del got
+    model = train(text, y, weight)
+    del text
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
+    return model
 
 
 SPANS = "array<struct<start: bigint, end: bigint, p: double>>"
