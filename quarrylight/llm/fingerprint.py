@@ -125,7 +125,7 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     """
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    n = 4 * partitions(spark)
+    n = partitions(spark)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     ids = docs.select(order.alias("k"))
     cuts = sorted(set(ids.approxQuantile("k", [i / n for i in range(1, n)], 1 / (8 * n)))) if n > 1 else []
