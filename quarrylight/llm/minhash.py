@@ -29,9 +29,9 @@ BINS = BANDS * ROWS
 CENTRES = 6
 #: Nodes of a bucket whose signatures are compared in one task; a larger bucket is split first.
 HELD = 4096
-#: Bins of the finer sketch by which they are compared, one byte each, and what the similarity that a quarter of the bins and all
-#: of them show must fall short of for a pair to be dropped: some 4 standard deviations (at most 0.027 and 0.014).
-FINE, ROUGH_SLACK, FINE_SLACK = 1024, 0.12, 0.05
+#: Bins of the finer sketch by which they are compared, one byte each. A pair is dropped where its differing bins rule the similarity
+#: out, or where at least FEW bins are filled and show it SIGMAS standard deviations too low.
+FINE, FEW, SIGMAS = 1024, 128, 5
 #: Bits of the filter that keeps texts out of the exchange if no pair asks for them; its size does not grow.
 FILTER = 1 << 23
 #: So many times buckets are split; what is left then is compared whatever its size, block by block.
@@ -148,11 +148,22 @@ def _confirm(num: int, den: int):
 
 
 def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den: int, block: int = 512):
-    """Places a < b of nodes of different components whose bins agree enough, block by block; a quarter of the bins decides first."""
+    """Places a < b of nodes of different components whose bins agree enough, block by block; a quarter of the bins decides first.
+
+    Where the least hashes of a bin differ, the lesser one is in one set only. So the sets differ in as many shingles as bins do, at
+    least, and can share no more than half the rest: this drops no pair that is alike enough, and is near the truth where bins hold
+    one shingle each. Of f bins filled in either set, the share that agrees has a variance of at most J (1 - J) / f; this is only
+    asked of pairs with FEW bins filled.
+    """
     rough, least = np.ascontiguousarray(bins[:, ::4]), num / den
+    spread = SIGMAS * np.sqrt(max(least, 0.5) * (1 - max(least, 0.5)))
 
-    def agree(x, y, slack):
-        return ((x == y) & (x > 0)).sum(axis=1) >= (least - slack) * ((x | y) > 0).sum(axis=1)
+    def agree(x, y, both):
+        filled = ((x | y) > 0).sum(axis=1)
+        same = ((x == y) & (x > 0)).sum(axis=1)
+        apart = filled - same
+        can = den * (both - apart) >= num * (both + apart)
+        return can & ((filled < FEW) | (same >= least * filled - spread * np.sqrt(filled)))
 
     for a in range(0, len(bins), block):
         for b in range(a, len(bins), block):
@@ -161,11 +172,11 @@ def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den:
             i, j = np.nonzero(apart & (lo * den >= hi * num))
             if a == b:
                 i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), 1 << 15):
-                u, v = i[k : k + (1 << 15)] + a, j[k : k + (1 << 15)] + b
-                hit = agree(rough[u], rough[v], ROUGH_SLACK)
+            for k in range(0, len(i), 1 << 13):
+                u, v = i[k : k + (1 << 13)] + a, j[k : k + (1 << 13)] + b
+                hit = agree(rough[u], rough[v], n[u] + n[v])
                 u, v = u[hit], v[hit]
-                hit = agree(bins[u], bins[v], FINE_SLACK)
+                hit = agree(bins[u], bins[v], n[u] + n[v])
                 yield u[hit], v[hit]
 
 

@@ -303,6 +303,23 @@ def test_minhash_opens_buckets(spark, monkeypatch):
     del rng
 
 
+def test_screen_keeps_short_texts():
+    """One crowded bucket of texts of 20 to 100 words: no pair of similarity 0.75 or more is dropped, and most others are."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(300):
+        w = [f"b{k}w{i}" for i in range(rng.randint(20, 100))]
+        u = len(w) - 4  # a tail that is replaced leaves the sets' similarity at (u - m) / (u + m)
+        m = rng.choice([x for x in range(1, u) if 0.75 <= (u - x) / (u + x) <= 0.82] or [1])
+        texts += [" ".join(w), " ".join(w[: len(w) - m] + [f"c{k}w{i}" for i in range(m)])]
+    sets = list(kernels.text_sets(pa.array(texts)))
+    n = np.array([len(s) for s in sets])
+    got = {(int(a), int(b)) for i, j in minhash.near_pairs(minhash.fine_bins(sets), np.arange(len(sets)), n, 75, 100) for a, b in zip(i, j)}
+    plain = [brute.shingles(t) for t in texts]
+    want = {(a, a + 1) for a in range(0, len(texts), 2) if 100 * len(plain[a] & plain[a + 1]) >= 75 * len(plain[a] | plain[a + 1])}
+    assert len(want) > 250 and want <= got and len(got) < 2 * len(texts)
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(3)
     pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2))
