@@ -1,7 +1,9 @@
-"""Document fingerprints: every shingle hash below a fixed fraction of the hash space.
+"""Document fingerprints: every shingle hash below a fixed fraction of the hash space; of a short text, every hash.
 
 The sketch grows with the document, so a short and a long document keep the same share of their shingles: intersections
-of sketches estimate intersections of sets, whatever the sizes, and the sketch of a union is the union of sketches.
+of sketches estimate intersections of sets, whatever the sizes, and the sketch of a union is the union of sketches. A set of
+at most WHOLE hashes, of which few or none may lie below the fraction, is kept whole and marked: two of these are compared exactly, one
+and a longer text by what lies below the fraction.
 """
 
 from __future__ import annotations
@@ -20,13 +22,32 @@ from .kernels import U, overlap, text_sets
 
 #: A fingerprint keeps the hashes below 1 / SCALE of the hash space, at 48 bits each.
 SCALE = 4
+#: Sets of so many hashes are kept whole, and end with MARK.
+WHOLE, MARK = 256, (1 << 48) - 1
 #: Bytes of text that are taken up at a time.
 CHUNK = 1 << 20
 
 
 def sketch(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """The upper 48 bits of the sorted distinct hashes that lie below the threshold."""
-    return np.unique(hashes[: np.searchsorted(hashes, U((1 << 64) // scale))] >> U(16))
+    """The upper 48 bits of the sorted distinct hashes that lie below the threshold, or of all of a short set, and MARK."""
+    if 0 < len(hashes) <= WHOLE:
+        return np.unique(np.append(hashes >> U(16), U(MARK)))
+    return _below(np.unique(hashes[: np.searchsorted(hashes, U((1 << 64) // scale))] >> U(16)), scale)
+
+
+def _below(s: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    return s[: np.searchsorted(s, U((1 << 48) // scale))]
+
+
+def _whole(s: np.ndarray) -> bool:
+    return not len(s) or int(s[-1]) == MARK
+
+
+def _level(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without marks: whole where both are, else what lies below the threshold."""
+    if _whole(a) and _whole(b):
+        return a[:-1], b[:-1]  # an empty one has no mark
+    return _below(a), _below(b)
 
 
 def to_string(s: np.ndarray) -> str:
@@ -42,20 +63,26 @@ def from_string(s: str) -> np.ndarray:
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
-    return np.union1d(a, b)
+    x, y = _level(a, b)
+    both = np.union1d(x, y)
+    if not (_whole(a) and _whole(b)):
+        return both
+    return np.append(both, U(MARK)) if 0 < len(both) <= WHOLE else _below(both)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; 0 if a's sketch is empty."""
+    """Estimated share of a's shingles that b has, exact if both are whole; 0 if nothing of a can be compared."""
+    a, b = _level(a, b)
     return overlap(a, b) / len(a) if len(a) else 0.0
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity; two empty sketches are alike (1), an empty one and another are not (0)."""
+    """Estimated Jaccard similarity, exact if both are whole; two empty sketches, of texts without words, are alike (1), an empty one and another are not (0)."""
     if not len(a) and not len(b):
         return 1.0
+    a, b = _level(a, b)
     both = overlap(a, b)
-    return both / (len(a) + len(b) - both)
+    return both / max(1, len(a) + len(b) - both)
 
 
 def edited_text(text: str, following: str) -> str:

@@ -150,6 +150,23 @@ def test_sketches_merge():
     assert fingerprint.from_string(fingerprint.to_string(fingerprint.sketch(a))).tolist() == fingerprint.sketch(a).tolist()
 
 
+def test_short_texts_have_fingerprints():
+    """Texts of 1 to 12 words: different ones differ, and their likeness is that of their sets."""
+    rng = random.Random(6)
+    texts = ["", " ", *(" ".join(rng.choice("abc") for _ in range(k)) for k in range(1, 13) for _ in range(12))]
+    plain = [brute.shingles(t) for t in texts]
+    got = [fingerprint.from_string(fingerprint.to_string(fingerprint.sketch(s))) for s in kernels.text_sets(pa.array(texts))]
+    assert [len(g) > 0 for g in got] == [len(p) > 0 for p in plain]
+    for a, p in zip(got, plain):
+        for b, q in zip(got, plain):
+            assert fingerprint.likeness(a, b) == (len(p & q) / len(p | q) if p | q else 1)
+            assert fingerprint.containment(a, b) == (len(p & q) / len(p) if p else 0)
+    sets = list(kernels.text_sets(pa.array([prose(rng, 200), prose(rng, 150), prose(rng, 3000), "one"])))
+    for a in sets:
+        for b in sets:
+            assert fingerprint.merge(fingerprint.sketch(a), fingerprint.sketch(b)).tolist() == fingerprint.sketch(np.union1d(a, b)).tolist()
+
+
 def test_token_counts(spark, rows):
     got = token_counts.count_tokens(clash(frame(spark, odd(rows))), VOCABULARY, 50256, 50257, block=1 << 10)
     enc = tokens.encoder(VOCABULARY, True)
