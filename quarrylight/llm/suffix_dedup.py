@@ -4,7 +4,8 @@ Two strings that are equal have the same least hash among their k-grams, so ever
 consecutive starts with one owner are one run. Equal strings are owned by equal hashes: only runs whose hash
 occurs again, in another run or in themselves, can repeat anything. Runs that are equal as a whole repeat in every string; what is left - runs that equal no other
 as a whole, beside one copy of those with the same owner - is dealt into shards by owner, and the
-induced sort of each shard's text, on disk where it is larger than memory, finds the strings that start twice.
+induced sort of each shard's text finds the strings that start twice. A shard's text, sample, ranks and names are held in memory,
+only the queues of the sort spill; an owner's runs are not split, so the runs of one owner must fit in a task.
 """
 
 from __future__ import annotations
