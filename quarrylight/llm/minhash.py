@@ -220,7 +220,7 @@ def _pairs(found):
 
 def _wanted(nodes: DataFrame):
     """A condition on a column of ids that holds for all of nodes and few others: a bitmap of FILTER bits over their hashes."""
-    h = F.pmod(F.xxhash64("node"), F.lit(FILTER))
+    h = F.pmod(F.xxhash64("node"), F.lit(FILTER)) + 1  # from 1, as Spark puts 0 in a bucket 0 that has no place here
     got = nodes.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
     bits = np.zeros(FILTER + (1 << 15), bool)  # at most FILTER / 32768 rows of 4 kB
     for r in got:
@@ -233,7 +233,7 @@ def _wanted(nodes: DataFrame):
         return pa.array((packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1)
 
     # bucket b holds the positions (b - 1) * 32768 + 1 to b * 32768, counted by bit from 0
-    pos = (F.expr("bitmap_bucket_number(pmod(xxhash64(node), %d)) - 1" % FILTER) * 32768 + F.expr("bitmap_bit_position(pmod(xxhash64(node), %d))" % FILTER)).cast("long")
+    pos = (F.expr("bitmap_bucket_number(pmod(xxhash64(node), %d) + 1) - 1" % FILTER) * 32768 + F.expr("bitmap_bit_position(pmod(xxhash64(node), %d) + 1)" % FILTER)).cast("long")
     return hit(pos)
 
 

@@ -320,6 +320,16 @@ def test_minhash_opens_buckets(spark, monkeypatch):
     del rng
 
 
+def test_filter_holds_every_slot(spark):
+    """Also the ids whose hash is 0 within the filter."""
+    ids = [25317696, 60270852, 64977102, 1, 2, 3]
+    nodes = spark.createDataFrame([(i,) for i in ids], "node long")
+    zero = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(minhash.FILTER)) == 0).count()
+    more = nodes.union(spark.createDataFrame([(i,) for i in range(1000, 1200)], "node long"))
+    got = [r["node"] for r in more.filter(minhash._wanted(nodes)).collect()]
+    assert zero == 3 and set(ids) <= set(got) and len(got) < 20
+
+
 def test_screen_keeps_short_texts():
     """One crowded bucket of texts of 20 to 100 words: no pair of similarity 0.75 or more is dropped, and most others are."""
     rng = random.Random(4)
