@@ -21,13 +21,9 @@ from pyspark.sql import functions as F
 from .common import need
 from .tokens import encoder, vocabulary_path
 
-SENTENCE, ANYWHERE = 2, 8
+SENTENCE, ANYWHERE = 2, 12
 #: Ids that are solved at a time; the last windows of a stretch are solved again with the next one.
 STRETCH, AGAIN = 1 << 18, 8
-#: Every so many sentence ends also offer the place a whole window later, where a window has no padding.
-THIN = 3
-#: Shorter windows than this share of the size are not cut for being a power of two, but at a stream's end.
-SHORT = 16
 
 
 def sentence_ends(path: str) -> np.ndarray:
@@ -44,36 +40,35 @@ def sentence_ends(path: str) -> np.ndarray:
 def cut_places(ends: np.ndarray, doc_ends: np.ndarray, n: int, size: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut is considered, ascending from 0 to n, and what each costs. ends, doc_ends: places after a sentence, a document."""
     price = np.full(n + 1, -1)
-    soft = np.concatenate([[0], ends[ends < n]])
-    thin = soft[::THIN] + size
-    price[thin[thin < n]] = ANYWHERE
+    price[ends] = price[doc_ends] = price[[0, n]] = SENTENCE
+    soft = np.flatnonzero(price >= 0)
+    whole = soft + size  # windows without padding from any of them
+    price[whole[whole < n]] = ANYWHERE
+    wide = np.flatnonzero(np.diff(soft) > size // 4)
+    for a, b in zip(soft[wide].tolist(), soft[wide + 1].tolist()):
+        price[a : b : size // 4] = ANYWHERE
     if last:
         price[max(0, n - size) :] = ANYWHERE
     price[soft] = SENTENCE
     price[doc_ends] = 0
     price[[0, n]] = 0
     at = np.flatnonzero(price >= 0)
-    wide = np.flatnonzero(np.diff(at) > size // 4)
-    if len(wide):
-        for a, b in zip(at[wide].tolist(), at[wide + 1].tolist()):
-            price[a + size // 4 : b : size // 4] = ANYWHERE
-        at = np.flatnonzero(price >= 0)
     return at, price[at]
 
 
 def solve(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     """The cheapest cuts, as ascending places that end with the last one."""
     n = len(at)
-    end = int(at[-1])
+    number = np.full(int(at[-1]) + 1, -1, np.int32)  # of each place, -1 if no cut is considered there
+    number[at] = np.arange(n)
     # for each place, the places that lie a power of two before it
     to, since = [], []
     k = 1
     while k < size:
-        j = np.arange(n) if k >= size // SHORT else np.flatnonzero(at > end - size)
-        h = np.minimum(np.searchsorted(at, at[j] - k), n - 1)
-        hit = at[h] == at[j] - k
-        to.append(j[hit])
-        since.append(h[hit])
+        h = number[np.maximum(at - k, 0)]
+        j = np.flatnonzero((at >= k) & (h >= 0))
+        to.append(j)
+        since.append(h[j])
         k *= 2
     to, since = np.concatenate(to), np.concatenate(since)
     order = np.argsort(to, kind="stable")

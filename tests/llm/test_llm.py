@@ -264,6 +264,18 @@ def test_packing_is_optimal(places, n, seed):
     assert cuts[-1] == n and sum(pad(b - a) + price[b] for a, b in zip([0, *cuts], cuts)) == best[n]
 
 
+def test_packing_considers_every_cut():
+    """Every sentence end offers the place a whole window later, and short powers of two count anywhere in the stream."""
+    rng = np.random.default_rng(8)
+    ends = np.flatnonzero(rng.random(20000) < 0.05) + 1
+    doc_ends = np.append(ends[::15], 20000)
+    at, cost = packing.cut_places(ends, doc_ends, 20000, 1024, False)
+    whole = np.union1d(np.union1d([0], ends), doc_ends) + 1024
+    assert np.isin(whole[whole < 20000], at).all() and set(cost.tolist()) == {0, packing.SENTENCE, packing.ANYWHERE}
+    at = np.array([0, 8, 1032, 2056, 3080])
+    assert packing.solve(at, np.zeros(5, int), 1024) == [8, 1032, 2056, 3080]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 70), min_size=1, max_size=300), st.floats(0.05, 1))
 def test_blocks_round_trip(values, fit):
