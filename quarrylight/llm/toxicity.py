@@ -9,6 +9,7 @@ offending places, and their sums, put through a logistic curve fitted on the sam
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, without
+from .common import give_back, need, without
 from .kernels import U, _BASE, _BYTE, _INV, _power, chunks, mix, text_sets, utf8_batch, word_hashes
 
 TABLE = 1 << 22
@@ -200,8 +201,11 @@ def unlike(texts: pa.Array, most: float = 0.3) -> np.ndarray:
     return np.flatnonzero(seen <= most * np.maximum(sizes, 1))
 
 
-def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float] = (1.0, 1.0), steps: int = 60, seed: int = 5) -> Model:
-    """texts and their labels (0 or 1) in memory: the bounded sample. Near copies of earlier texts in it are left out."""
+def train(texts: pa.Array, labels: np.ndarray, class_sizes: tuple[int, int] = (0, 0), max_chains: int = 60_000, steps: int = 60, seed: int = 5) -> Model:
+    """texts and their labels (0 or 1) in memory: the bounded sample. Near copies of earlier texts in it are left out.
+
+    class_sizes: how many documents there are of label 0 and 1, which the curve is weighted back to. max_chains: beyond so many chains, they are drawn at random.
+    """
     kept = unlike(texts)
     texts, labels = texts.take(pa.array(kept)), labels[kept]
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
@@ -224,16 +228,19 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
             for f, u in zip(w.features, w.checks):
                 check[f[mine]] = u[mine]
                 pair = np.unique(whose[mine].astype(np.int64) * TABLE + f[mine])
-                docs[value] += np.bincount(pair % TABLE, minlength=TABLE).astype(np.int32)
-    check[docs.sum(axis=0) < 2] = 0
-    check[0] = 0
-    t, c = docs[1], docs[0]
-    both = np.maximum(t + c, 1)
+                np.add.at(docs[value], pair % TABLE, 1)
+    seen = np.flatnonzero(docs[0] + docs[1] >= 2)
+    seen = seen[seen > 0]
+    t, both = docs[1, seen], docs[0, seen] + docs[1, seen]
+    known = check[seen]
+    check[:] = 0
+    check[seen] = known
+    del docs
     p0, x = n1 / (n1 + n0), t / both
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = np.where(x > 0, x * np.log(x / p0), 0) + np.where(x < 1, (1 - x) * np.log((1 - x) / (1 - p0)), 0)
-    marks = (x > max(0.7, p0)) & (both * kl >= EVIDENCE)
-    marks[0] = False
+    marks = np.zeros(TABLE, bool)
+    marks[seen] = (x > max(0.7, p0)) & (both * kl >= EVIDENCE)
     # chains with a marked word, and twice as many others
     rng = np.random.default_rng(seed)
     e_at, gold = [], []
@@ -246,10 +253,13 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
             s, e = w.heads[r], w.heads[r] + w.sizes[r]
             e_at.append(w.features[:, s:e].copy())
             gold.append(tag[s:e])
-    order = sorted(range(len(gold)), key=lambda i: len(gold[i]))[:60000]
+    if not gold:  # no words at all
+        return Model(none, none, none, -5.0, np.zeros((2, 2)), constant=n1 / (n1 + n0))
+    order = rng.permutation(len(gold))[:max_chains]
     sizes = np.array([len(gold[i]) for i in order])
     heads = np.cumsum(sizes) - sizes
     feats, tags = np.concatenate([e_at[i] for i in order], axis=1), np.concatenate([gold[i] for i in order])
+    del e_at, gold
     layout = []
     for rows, length in groups(sizes):
         at = heads[rows][None, :] + np.arange(length)[:, None]
@@ -262,15 +272,14 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
     np.add.at(want, (tags[i - 1].astype(int), tags[i].astype(int)), 1)
     used = np.unique(feats)
     used = used[used > 0]
-    slot = np.zeros(TABLE, np.int64)
-    slot[used] = np.arange(1, len(used) + 1)
-    local = slot[feats]
+    local = np.where(feats > 0, np.searchsorted(used, feats) + 1, 0)
+    del feats
     theta = np.zeros(len(used) + 1 + 1 + 4)
     theta[len(used) + 1] = -2.0
     mom, var = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         wts, bias, edges = theta[: len(used) + 1], theta[len(used) + 1], theta[-4:].reshape(2, 2)
-        e = bias + wts[local].sum(axis=0)
+        e = bias + sum(wts[f] for f in local)
         p, pairs = np.zeros(len(tags)), np.zeros((2, 2))
         for at, on in layout:
             q, pr, _ = forward_backward(np.where(on, e[at], 0.0), on, edges)
@@ -290,7 +299,7 @@ def train(texts: pa.Array, labels: np.ndarray, class_weight: tuple[float, float]
     # the curve, on documents, with the sample's classes weighted back to their share
     got = [_sums(w, marginals(w, m)) for w, _ in parts(m.check)]
     x = np.stack([np.ones(len(labels)), np.log1p(np.concatenate([g[0] for g in got])), np.concatenate([g[1] for g in got])], axis=1)
-    wt = np.where(labels == 1, class_weight[1], class_weight[0])
+    wt = np.where(labels == 1, max(class_sizes[1], n1) / n1, max(class_sizes[0], n0) / n0)
     wt = wt / wt.mean()
     b = np.zeros(3)
     ridge = np.diag([1e-3, 1e-1, 1e-1])
@@ -311,11 +320,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 6000, max_chars: int = 20_000) -> Model:
-    """Train on at most max_toxic and max_clean labelled documents, the first ones by a hash of their id, and max_chars of each text.
+def _train(class_sizes: tuple[int, int], max_chains: int):
+    """All rows (text, toxic) of one task -> one row, the model."""
+
+    def f(batches):
+        batches = list(batches)
+        t = pa.Table.from_batches(batches) if batches else None
+        text = pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text").chunks]) if t else pa.array([], pa.large_string())
+        y = np.asarray(t.column("toxic").to_numpy(), np.int64) if t else np.zeros(0, np.int64)
+        model = pickle.dumps(train(text, y, class_sizes, max_chains))
+        del t, text, batches
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    return f
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 6000, max_chains: int = 60_000) -> Model:
+    """Train on the whole texts of at most max_toxic and max_clean labelled documents, the first ones by a hash of their id, and on at most max_chains of their chains.
 
     labels: doc_id, toxic. A document that is labelled more than once is toxic if one of its labels says so; null labels
     are left out. Only rows that are not held out are learnt from. Documents whose class has none give a constant score.
+    One executor task trains; only the model, of at most TABLE weights, reaches the driver.
     """
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "toxic")
@@ -325,16 +351,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: in
     for value, most in ((1, max_toxic), (0, max_clean)):
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         pick = part if pick is None else pick.union(part)
-    rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(pick.hint("broadcast"), "doc_id")  # at most max_toxic + max_clean ids
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_toxic + max_clean).select("text", "toxic").toArrow()
-    y = np.asarray(got.column("toxic").to_numpy(), np.int64)
-    weight = tuple(size.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1))
-    text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    del got
-    model = train(text, y, weight)
-    del text
-    pa.default_memory_pool().release_unused()  # the driver goes on to other work
-    return model
+    rows = docs.select("doc_id", "text").join(pick.hint("broadcast"), "doc_id")  # at most max_toxic + max_clean ids
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_toxic + max_clean).select("text", "toxic")  # one task
+    got = rows.mapInArrow(_train((size.get(0, 0), size.get(1, 0)), max_chains), "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else train(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
 SPANS = "array<struct<start: bigint, end: bigint, p: double>>"
@@ -374,6 +394,7 @@ def _score(m: Model, spans: bool):
                     score = _curve(*_sums(w, p), m)
                     found = _spans(d, o, w, p, 0.5) if spans else [[]] * (b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(found, kind)], names=["doc_id", "score", "spans"])
+        give_back()
 
     return f
 
