@@ -63,26 +63,42 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: a 64-bit hash of every word (A-Z as a-z), its first byte's place, and n + 1 offsets of the texts' words."""
+def _places(n: int) -> np.ndarray:
+    """An odd multiplier for each of n places of a word."""
+    have = _powers.get("places")
+    if have is None or len(have) < n:
+        have = mix(np.arange(1, max(n, 256) + 1, dtype=np.uint64) * _BASE) | U(1)
+        if n <= CHUNK:  # not kept for one very long word
+            _powers["places"] = have
+    return have
+
+
+def spell(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: each word's first place and the one after its last; a value for every byte of a word, on end, and each word's first place among these.
+
+    A byte's value depends on the byte (A-Z as a-z) and its place in the word, by unrelated multipliers: sums of values tell words apart,
+    also words of much alike structure, for which powers of one base cancel out.
+    """
     n = len(data)
     black = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.empty(n, bool)
-    if n:
-        before[0] = True
-        np.logical_not(black[:-1], out=before[1:])
-        before |= edge[:n]
-    starts = np.flatnonzero(black & before)
-    after = np.ones(n, bool)
+    first, last = black.copy(), black.copy()
     if n:
-        np.logical_not(black[1:], out=after[:-1])
-        after |= edge[1:]
-    ends = np.flatnonzero(black & after) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("p", _BASE, n + 1)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _power("q", _INV, n + 1)[starts]
+        first[1:] &= ~black[:-1] | edge[1:n]
+        last[:-1] &= ~black[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = ends - starts
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+    values = _BYTE[data[black]] * _places(int(sizes.max()) if len(sizes) else 0)[place]
+    return starts, ends, values, at
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: a 64-bit hash of every word (A-Z as a-z), its first byte's place, and n + 1 offsets of the texts' words."""
+    starts, ends, values, at = spell(data, offsets)
+    h = np.add.reduceat(values, at) if len(at) else np.zeros(0, np.uint64)
     h = mix(h + (ends - starts).astype(np.uint64) * _SHORT)
     return h, starts, np.searchsorted(starts, offsets)
 

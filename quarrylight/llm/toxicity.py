@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import give_back, need, without
-from .kernels import U, _BASE, _BYTE, _INV, _power, chunks, mix, text_sets, utf8_batch, word_hashes
+from .kernels import U, chunks, mix, spell, text_sets, utf8_batch
 
 TABLE = 1 << 22
 BEGINNINGS = (3, 4, 5, 6)
@@ -59,22 +59,19 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, check: np.ndarray | None = None):
-        h, self.starts, self.at = word_hashes(data, offsets)
-        n = len(h)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power("p", _BASE, len(data) + 1)[: len(data)], out=total[1:])
-        inv = _power("q", _INV, len(data) + 1)[self.starts]
-        space = ~np.isin(data, [9, 10, 11, 12, 13, 32])
-        run = np.ones(n, bool)
-        self.ends = _ends(space, self.starts, offsets, len(data))
+        self.starts, self.ends, values, first = spell(data, offsets)
+        self.at = np.searchsorted(self.starts, offsets)
+        n = len(self.starts)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        size = self.ends - self.starts
         self.features = np.zeros((1 + len(BEGINNINGS), n), np.int32)
         self.checks = np.zeros((1 + len(BEGINNINGS), n), np.uint32) if check is None else None
-        self._place(0, slice(None), h, check)
-        size = self.ends - self.starts
+        self._place(0, slice(None), mix(total[first + size] - total[first] + size.astype(np.uint64)), check)
         for i, k in enumerate(BEGINNINGS, 1):
             run = size >= k
-            s = self.starts[run]
-            f = mix((total[s + k] - total[s]) * inv[run] + U(k * 0x9E3779B97F4A7C15 % 2**64))
+            s = first[run]
+            f = mix((total[s + k] - total[s]) + U(k * 0x9E3779B97F4A7C15 % 2**64))
             self._place(i, run, f, check)  # elsewhere 0: the word is shorter
         # a chain ends with a text, with a sentence and after CHAIN words
         first = np.zeros(n, bool)
@@ -102,16 +99,6 @@ class Words:
         return e
 
 
-def _ends(black: np.ndarray, starts: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    after = np.ones(n, bool)
-    if n:
-        np.logical_not(black[1:], out=after[:-1])
-        after |= edge[1:]
-    return np.flatnonzero(black & after) + 1
-
-
 def groups(sizes: np.ndarray):
     """Chains by length, so that little is padded: rows of chain numbers of at most 8, 16, 32, ... words."""
     low, high = 0, 8
