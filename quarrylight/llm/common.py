@@ -80,6 +80,16 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def lean(f):
+    """f, a function over the batches of a task, that gives memory back when the task is through."""
+
+    def g(batches):
+        yield from f(batches)
+        give_back()
+
+    return g
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

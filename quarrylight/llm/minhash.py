@@ -5,10 +5,12 @@ their leading bits and the least of each bin is kept; an empty bin borrows from
 (bin, attempt) picks, until it meets one that is not empty. Nodes that agree on a band of the signature share a
 bucket. A bucket proposes a star - its smallest node with every other one - and each proposal is confirmed on the full
 sets. A bucket whose nodes then still lie in several components is open: it proposes CENTRES more stars, from nodes of
-its largest component. Where it stays open, the signatures of its nodes are held against each other within the
-task, and pairs across components that may be alike enough are confirmed as well; a bucket too large for that is split by a
-second band first. So pairs are only made where signatures are near, and no link within a bucket is lost. Links are closed
-by label propagation in written tables.
+its largest component. Where it stays open, the signatures of its nodes are held against each other within a
+task, and pairs across components that may be alike enough are confirmed as well. A bucket of more than HELD nodes is
+split by each of the later bands if that at least halves the comparisons, so that a pair meets in the bucket of its first band, or of its
+first two, and so on, and is compared there alone; else, or after DEPTH bands, it is compared as pairs of blocks, dealt over tasks.
+So pairs are only made where signatures are near, no task holds more than two blocks, and no link within a bucket is lost but
+for those of texts that agree on fewer bands than their bucket was split by. Links are closed by label propagation in written tables.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
-from .common import Scratch, need, partitions
+from .common import Scratch, lean, need, partitions
 from .kernels import U, mix, overlap, text_sets
 
 BANDS, ROWS = 48, 5
@@ -28,14 +30,14 @@ BINS = BANDS * ROWS
 #: Further stars of a bucket that the first one left open.
 CENTRES = 6
 #: Nodes of a bucket whose signatures are compared in one task; a larger bucket is split first.
-HELD = 4096
+HELD = 1024
 #: Bins of the finer sketch by which they are compared, one byte each. A pair is dropped where its differing bins rule the similarity
 #: out, or where at least FEW bins are filled and show it SIGMAS standard deviations too low.
 FINE, FEW, SIGMAS = 1024, 128, 5
 #: Bits of the filter that keeps texts out of the exchange if no pair asks for them; its size does not grow.
 FILTER = 1 << 23
-#: So many times buckets are split; what is left then is compared whatever its size, block by block.
-DEPTH = 4
+#: Bands by which a bucket is told from others at most; what is larger then is compared in pairs of blocks.
+DEPTH = 3
 _PLACE = np.random.default_rng(7).integers(1, 2**63, BINS, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -92,9 +94,8 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(batches):
     """doc_id, text -> doc_id, n_shingles, the set's digest and its band keys."""
     for batch in batches:
-        ids, sets = batch.column(0), list(text_sets(batch.column(1)))
-        for a in range(0, len(sets), 512):
-            part = sets[a : a + 512]
+        for a in range(0, batch.num_rows, 512):
+            ids, part = batch.column(0).slice(a, 512), list(text_sets(batch.column(1).slice(a, 512)))
             d1, d2 = digests(part)
             some = [i for i, s in enumerate(part) if len(s)]
             keys, bins = np.zeros((len(part), BANDS), np.int64), np.zeros((len(part), FINE), np.uint8)
@@ -102,24 +103,33 @@ def _sketch(batches):
                 full = [part[i] for i in some]
                 keys[some], bins[some] = band_keys(signatures(full)), fine_bins(full)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([k.tobytes() for k in bins], pa.binary())],
+                [ids, pa.array([len(s) for s in part], pa.int64()), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([k.tobytes() for k in bins], pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "bins"],
             )
 
 
-def _explode(pairs: bool):
-    """Rows (key, node, n) of all bands; with pairs, keys of two bands (the first one given as `key`)."""
+ROWS_OF_BANDS = "key long, node long, n long, path binary, parent long"
+
+
+def _explode(split: bool):
+    """Rows (key, node, n, path, parent) of all bands; with split, from rows with a key and a path (the bands it stands for), of that key, the parent, and each later band."""
 
     def f(batches):
         for batch in batches:
-            node, n, bands = batch.column("node").to_numpy(), batch.column("n").to_numpy(), batch.column("bands").to_pylist()
-            keys = np.frombuffer(b"".join(bands), np.int64).reshape(len(node), BANDS)
-            if pairs:
-                old = batch.column("key").to_numpy(zero_copy_only=False)
-                keys = mix(keys.view(np.uint64) * U(3) + mix(old.view(np.uint64))[:, None]).view(np.int64)
-            for a in range(0, len(node), 2048):
-                m = len(node[a : a + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 2048].ravel()), pa.array(np.repeat(node[a : a + 2048], BANDS)), pa.array(np.repeat(n[a : a + 2048], BANDS))], names=["key", "node", "n"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                node, n = part.column("node").to_numpy(), part.column("n").to_numpy()
+                keys = np.frombuffer(b"".join(part.column("bands").to_pylist()), np.int64).reshape(len(node), BANDS)
+                if split:
+                    old, paths = part.column("key").to_numpy(), part.column("path").to_pylist()
+                    last = np.array([p[-1] for p in paths])
+                    keys = mix(keys.view(np.uint64) * U(3) + mix(old.view(np.uint64))[:, None]).view(np.int64)
+                    i, b = np.nonzero(np.arange(BANDS)[None, :] > last[:, None])
+                    path = [paths[x] + bytes([y]) for x, y in zip(i.tolist(), b.tolist())]
+                else:
+                    i, b = np.divmod(np.arange(keys.size), BANDS)
+                    path, old = [bytes([y]) for y in range(BANDS)] * len(node), np.zeros(len(node), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i, b]), pa.array(node[i]), pa.array(n[i]), pa.array(path, pa.binary()), pa.array(old[i])], names=["key", "node", "n", "path", "parent"])
 
     return f
 
@@ -147,9 +157,11 @@ def _confirm(num: int, den: int):
     return f
 
 
-def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den: int, block: int = 512):
+def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den: int, mine=None, block: int = 512):
     """Places a < b of nodes of different components whose bins agree enough, block by block; a quarter of the bins decides first.
 
+    mine(a, b): which of the pairs are to be compared at all.
+
     Where the least hashes of a bin differ, the lesser one is in one set only. So the sets differ in as many shingles as bins do, at
     least, and can share no more than half the rest: this drops no pair that is alike enough, and is near the truth where bins hold
     one shingle each. Of f bins filled in either set, the share that agrees has a variance of at most J (1 - J) / f; this is only
@@ -174,40 +186,49 @@ def near_pairs(bins: np.ndarray, comp: np.ndarray, n: np.ndarray, num: int, den:
                 i, j = i[i < j], j[i < j]
             for k in range(0, len(i), 1 << 13):
                 u, v = i[k : k + (1 << 13)] + a, j[k : k + (1 << 13)] + b
+                if mine is not None:
+                    own = mine(u, v)
+                    u, v = u[own], v[own]
                 hit = agree(rough[u], rough[v], n[u] + n[v])
                 u, v = u[hit], v[hit]
                 hit = agree(bins[u], bins[v], n[u] + n[v])
                 yield u[hit], v[hit]
 
 
-def _near(num: int, den: int, once: bool):
-    """Rows in order of key -> pairs of a bucket's nodes that may be alike enough.
+def _near(num: int, den: int):
+    """Rows in order of (key, one, two) -> pairs of a bucket's nodes that may be alike enough; of two blocks, pairs between them.
 
-    once: a pair is given only in the bucket of the first band on which its nodes agree, for all their buckets are here.
+    A pair is compared only in the bucket of the first bands on which its nodes agree.
     """
 
     def f(batches):
-        def solve(key, rows):
-            node, comp, n, bins, bands = zip(*rows)
-            node, comp, n = np.array(node), np.array(comp), np.array(n)
+        def solve(now, rows):
+            _, one, two, path = now
+            node, comp, n, block, bins, bands = zip(*rows)
+            node, comp, n, block = np.array(node), np.array(comp), np.array(n), np.array(block)
             m = np.frombuffer(b"".join(bins), np.uint8).reshape(len(node), FINE)
             keys = np.frombuffer(b"".join(bands), np.int64).reshape(len(node), BANDS)
-            out = []
-            for i, j in near_pairs(m, comp, n, num, den):
-                if once:
-                    first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
-                    i, j = i[first], j[first]
-                out += zip(np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist())
-            return out
+            keys = np.ascontiguousarray(keys[:, : path[-1] + 1])
+            want = np.zeros(keys.shape[1], bool)
+            want[list(path)] = True
+
+            def mine(i, j):
+                first = ((keys[i] == keys[j]) == want).all(axis=1)
+                return first if one == two else first & (block[i] != block[j])
+
+            for i, j in near_pairs(m, comp, n, num, den, mine):
+                yield from _pairs(list(zip(np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist())))
 
         now, rows = None, []
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp", "n", "bins", "bands"))):
-                if key != now:
-                    yield from _pairs(solve(now, rows) if rows else ())
-                    now, rows = key, []
+            for key, one, two, path, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "one", "two", "path", "node", "comp", "n", "block", "bins", "bands"))):
+                if (key, one, two, path) != now:
+                    if rows:
+                        yield from solve(now, rows)
+                    now, rows = (key, one, two, path), []
                 rows.append(row)
-        yield from _pairs(solve(now, rows) if rows else ())
+        if rows:
+            yield from solve(now, rows)
 
     return f
 
@@ -278,7 +299,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     scratch = Scratch(spark, "near-duplicates")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id long, n_shingles long, d1 long, d2 long, bands binary, bins binary"
-    sketch = scratch.keep(base.mapInArrow(_sketch, kind), "sketch")
+    sketch = scratch.keep(base.mapInArrow(lean(_sketch), kind), "sketch")
     sets = scratch.keep(sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "sets")
     nodes = sketch.withColumnRenamed("doc_id", "node").join(sets.select("d1", "d2", "node", "n"), ["d1", "d2", "node"]).select("node", "n", "bands", "bins").dropDuplicates(["node"])
     nodes = scratch.keep(nodes, "nodes")
@@ -291,7 +312,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         some = texts.filter("node IS NOT NULL").filter(_wanted(ends)).join(ends, "node", "left_semi").dropDuplicates(["node"])
         some = scratch.keep(some, f"{name}-texts")
         full = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        links = scratch.keep(full.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(num, den), "a long, b long"), f"{name}-links")
+        links = scratch.keep(full.select("a", "b", "a_text", "b_text").mapInArrow(lean(_confirm(num, den)), "a long, b long"), f"{name}-links")
         scratch.drop(f"{name}-texts")
         scratch.release()
         return links
@@ -306,13 +327,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
 
     def opened(buckets: DataFrame, comp: DataFrame, name: str) -> DataFrame:
         """Rows of the buckets whose nodes lie in several components, with these, the bucket's size and its largest component."""
-        rows = buckets.select("key", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = buckets.select("key", "node", "n", "path").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sides = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("side")).groupBy("key")
         mixed = sides.agg(F.sum("side").alias("size"), F.max(F.struct("side", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
         return scratch.keep(rows.join(mixed.select("key", "size", F.col("top.comp").alias("main")), "key"), name)
 
-    rows = nodes.mapInArrow(_explode(False), "key long, node long, n long")
-    buckets = shared(rows, "buckets")
+    rows = nodes.mapInArrow(lean(_explode(False)), ROWS_OF_BANDS)
+    buckets = shared(rows.drop("parent"), "buckets")
     sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
 
     def star(b: DataFrame) -> DataFrame:
@@ -339,19 +360,32 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         links, tried = links.union(new), tried.union(pairs_of(f"stars{depth}"))
         comp = joined(new, f"stars{depth}")
         rows = opened(rows, comp, f"left{depth}")
-        large = rows.filter(F.col("size") > HELD).select("key", "node")
-        some_large = large.limit(1).count() > 0
-        held = rows.filter(F.col("size") <= HELD) if depth < DEPTH else rows
-        held = held.select("key", "node", "comp", "n").join(nodes.select("node", "bins", "bands"), "node")
-        held = held.repartition(partitions(spark), "key").sortWithinPartitions("key")
-        near = held.select("key", "node", "comp", "n", "bins", "bands").mapInArrow(_near(num, den, depth == 1 and not some_large), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        large = rows.filter(F.col("size") > HELD)
+        deeper = depth < DEPTH and large.limit(1).count() > 0
+        if deeper:
+            split = large.join(nodes.select("node", "bands"), "node").select("node", "n", "bands", "key", "path").mapInArrow(lean(_explode(True)), ROWS_OF_BANDS)
+            split = scratch.keep(split, f"split{depth}")
+            work = split.groupBy("key", "parent").agg(F.count(F.lit(1)).alias("m")).groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+            halved = large.select(F.col("key").alias("parent"), "size").distinct().join(work, "parent").filter(2 * F.col("work") <= F.col("size") * F.col("size"))
+            halved = scratch.keep(halved.select("parent"), f"halved{depth}")
+            held = rows.join(halved.select(F.col("parent").alias("key")), "key", "left_anti")
+            deeper = halved.limit(1).count() > 0
+        else:
+            held = rows
+        # a bucket of B blocks has B (B + 1) / 2 pairs of them; a row goes to those of its block
+        count = F.ceil(F.col("size") / HELD).cast("int")
+        held = held.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        held = held.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "path", "node", "comp", "n", "block")
+        held = held.join(nodes.select("node", "bins", "bands"), "node")
+        held = held.repartition(partitions(spark), "key", "one", "two").sortWithinPartitions("key", "one", "two", "path")
+        held = held.select("key", "one", "two", "path", "node", "comp", "n", "block", "bins", "bands")
+        near = held.mapInArrow(lean(_near(num, den)), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         new = confirmed(near, f"near{depth}")
         links, tried = links.union(new), tried.union(pairs_of(f"near{depth}"))
         comp = joined(new, f"near{depth}")
-        if depth == DEPTH or not some_large:
+        if not deeper:
             break
-        split = large.join(nodes, "node").select("node", "n", "bands", "key").mapInArrow(_explode(True), "key long, node long, n long")
-        buckets = shared(split, f"buckets{depth}")
+        buckets = shared(split.join(halved, "parent", "left_semi").drop("parent"), f"buckets{depth}")
         new = confirmed(star(buckets).join(tried, ["a", "b"], "left_anti"), f"star{depth}")
         links, tried = links.union(new), tried.union(pairs_of(f"star{depth}"))
         comp = joined(new, f"star{depth}")

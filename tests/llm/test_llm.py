@@ -324,9 +324,9 @@ def test_minhash_opens_buckets(spark, monkeypatch):
     rows.append((100, " ".join(core)))
     want = brute.components(rows)
     assert 20 < len({c for _, c in want.values()}) < 60
-    for held in (4096, 4):
+    for held, depth in ((4096, 2), (4, 2), (7, 1)):
         monkeypatch.setattr(minhash, "HELD", held)
-        monkeypatch.setattr(minhash, "DEPTH", 2)
+        monkeypatch.setattr(minhash, "DEPTH", depth)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
         assert got == want
     del rng
@@ -359,6 +359,40 @@ def test_screen_keeps_short_texts():
     assert len(want) > 250 and want <= got and len(got) < 2 * len(texts)
 
 
+@pytest.mark.parametrize("union", [4, 8, 20, 40, 80, 100, 200, 400, 800])
+def test_recall_at_the_threshold(union):
+    """Pairs of similarity 0.75 exactly, by size of the union: they share a band, and the screen of open buckets lets them pass."""
+    rng = np.random.default_rng(union)
+    sets = []
+    for _ in range(300):
+        h = np.unique(rng.integers(0, 2**64, union, dtype=np.uint64))
+        own = rng.permutation(len(h))[: union // 4]
+        side = rng.integers(0, 2, len(own)) == 0
+        sets += [np.delete(h, own[side]), np.delete(h, own[~side])]
+    keys = minhash.band_keys(minhash.signatures(sets))
+    assert all((keys[i] == keys[i + 1]).any() for i in range(0, len(sets), 2))
+    got = {(int(a), int(b)) for i, j in minhash.near_pairs(minhash.fine_bins(sets), np.arange(len(sets)), np.array([len(s) for s in sets]), 75, 100) for a, b in zip(i, j)}
+    assert {(i, i + 1) for i in range(0, len(sets), 2)} <= got
+
+
+def test_minhash_keeps_links_below_the_stars(spark):
+    """Texts that share most words with all others, too few to be linked, but for one partner each at 30 of 40."""
+    n = 240
+    rows = [(i, " ".join([f"c{k}" for k in range(33)] + [f"p{i // 2}"] + [f"u{i}_{k}" for k in range(5)])) for i in range(n)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(n)}
+
+
+def test_hashes_tell_alike_words_apart():
+    """Two words whose difference vanishes under a polynomial in any odd base modulo 2^64."""
+    bits = "0"
+    while len(bits) < 4096:
+        bits += bits.translate(str.maketrans("01", "10"))
+    one, two = bits.translate(str.maketrans("01", "ab")), bits.translate(str.maketrans("01", "ba"))
+    a, b = kernels.text_sets(pa.array([one, two]))
+    assert kernels.overlap(a, b) == 0
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(3)
     pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2))
