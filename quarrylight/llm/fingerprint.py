@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, partitions
+from .common import lean, need, partitions
 from .kernels import U, overlap, text_sets
 
 #: A fingerprint keeps the hashes below 1 / SCALE of the hash space, at 48 bits each.
@@ -147,7 +147,7 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. A null text is empty. Rows without a doc_id come after all others; rows that share
     one follow each other by the hash of their texts. A single row is its own next. An empty table gives an empty result.
-    The documents are cut into ranges of doc_id; each range also gets, as a guest, the first document of the next range, so
+    The documents are cut into ranges of doc_id, one a partition; each range also gets, as a guest, the first document of the next range, so
     one exchange is enough.
     """
     need(docs, "doc_id", "text")
@@ -170,5 +170,5 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     home = F.struct(F.col("own").alias("grp"), F.lit(False).alias("guest"))
     away = F.struct(F.element_at(lends, F.col("own")).alias("grp"), F.lit(True).alias("guest"))
     rows = rows.select("doc_id", "text", "k", F.inline(F.when(F.col("k") == F.element_at(heads, F.col("own")), F.array(home, away)).otherwise(F.array(home))))
-    rows = rows.repartition(n, "grp").sortWithinPartitions("grp", "guest", F.desc("k"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.select("doc_id", "text", "grp", "guest").mapInArrow(_compare, OUT)
+    rows = rows.repartitionById(n, F.col("grp")).sortWithinPartitions("grp", "guest", F.desc("k"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.select("doc_id", "text", "grp", "guest").mapInArrow(lean(_compare), OUT)
