@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, need, partitions
+from .common import Scratch, lean, need, partitions
 from .files import file_size, read_file, whole_file
 from .tokens import encoder
 
@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, end: int, vocabulary_size: in
     need(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession, "token-counts")
     width = 2 if max(vocabulary_size, end + 1) <= 1 << 16 else 4
-    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_write(scratch.path("flat"), vocabulary, end, width), "file string, bytes long, ordinal long, doc_id long")
+    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_write(scratch.path("flat"), vocabulary, end, width)), "file string, bytes long, ordinal long, doc_id long")
     listed = scratch.keep(listed, "listed")
     counts = scan_flat_files(listed.select("file", "bytes").distinct(), end, width, block)
-    return listed.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
+    return listed.select("file", "ordinal", "doc_id").join(counts.hint("merge"), ["file", "ordinal"], "left").select("doc_id", "n_tokens")
