@@ -4,7 +4,7 @@ Vectors are packed into blocks. Every block of queries meets every block of cand
 on a tile number. In a tile the int8 codes are multiplied (as floats, in which sums of int8 products of up to
 1040 dimensions are exact); x.y differs from the scaled product by at most |ex||y'| + |x||ey|, with ex, ey the
 quantisation errors and y' the decoded vector. A pair survives if its upper bound reaches the k-th largest lower bound
-known for the query; survivors are recomputed in double precision and merged into a heap per query. So the result is
+known for the query; survivors are recomputed in double precision and merged into a heap per query of the block at hand. So the result is
 exact: no pair that belongs to the nearest k can be cut by its bound.
 """
 
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, need, partitions
+from .common import Scratch, lean, need, partitions
 
 BLOCK_SCHEMA = "side string, dim int, block long, ids binary, vectors binary, codes binary, scales binary, errors binary"
 #: Longer vectors are multiplied in slices of so many dimensions, so that float sums of int8 products stay exact.
 SLICE = 1024
+#: Candidate blocks of a tile, on average.
+TILE = 16
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,38 +88,47 @@ def _search(k: int):
         x = np.frombuffer(n["vectors"], np.float64).reshape(len(ids), -1)
         return ids, x, np.frombuffer(n["codes"], np.int8).reshape(x.shape), np.frombuffer(n["scales"]), np.frombuffer(n["errors"]), np.sqrt((x**2).sum(axis=1))
 
+    def flush(q, heaps):
+        part = [(row, int(q["ids"][row]), -v, x) for row, h in heaps.items() for x, v in h]
+        if part:
+            row, query, vec, score = zip(*part)
+            n = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([q["at"][0]] * n, pa.int32()), pa.array([q["at"][1]] * n, pa.int32()), pa.array([q["at"][2]] * n, pa.int64()), pa.array(row, pa.int32()), pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())],
+                names=["q_part", "dim", "q_block", "q_row", "query_id", "vec_id", "score"],
+            )
+
     def f(batches):
-        heaps: dict[tuple, list] = {}
+        now, heaps = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                q, c = load(row, "q"), load(row, "c")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                at = (row["q_part"], row["dim"], row["q_block"], row["tile"])
+                if now is None or now["at"] != at:
+                    if now is not None:
+                        yield from flush(now, heaps)
+                    q = load(row, "q")
+                    now, heaps = {"at": at, "ids": q[0]}, {}
+                c = load(row, "c")
                 low, high = _tile_bounds(q[2], q[3], q[4], q[5], c[2], c[3], c[4], c[5])
                 own = q[0][:, None] == c[0][None, :]
                 low[own] = -np.inf
                 high[own] = -np.inf
                 m = low.shape[1]
                 kth = np.partition(low, m - k, axis=1)[:, m - k] if m >= k else np.full(len(low), -np.inf)
-                keys = [(row["q_part"], row["dim"], row["q_block"], i) for i in range(len(low))]
-                for i, key in enumerate(keys):
-                    h = heaps.get(key)
-                    if h is not None and len(h[1]) == k:
-                        kth[i] = max(kth[i], h[1][0][0])
+                for j, h in heaps.items():
+                    if len(h) == k:
+                        kth[j] = max(kth[j], h[0][0])
                 at_q, at_c = np.nonzero((high >= kth[:, None]) & ~own)
                 score = exact_products(q[1][at_q], c[1][at_c])
-                ids = c[0][at_c]
-                for i, s, v in zip(at_q.tolist(), score.tolist(), ids.tolist()):
-                    h = heaps.setdefault(keys[i], (int(q[0][i]), []))[1]
+                for j, s, v in zip(at_q.tolist(), score.tolist(), c[0][at_c].tolist()):
+                    h = heaps.setdefault(j, [])
                     if len(h) < k:
                         heapq.heappush(h, (s, -v))
                     elif (s, -v) > h[0]:
                         heapq.heapreplace(h, (s, -v))
-        found = [(*key, h[0], -v, s) for key, h in heaps.items() for s, v in h[1]]
-        for a in range(0, len(found), 20000):
-            part = list(zip(*found[a : a + 20000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int32()), pa.array(part[4], pa.int64()), pa.array(part[5], pa.int64()), pa.array(part[6], pa.float64())],
-                names=["q_part", "dim", "q_block", "q_row", "query_id", "vec_id", "score"],
-            )
+        if now is not None:
+            yield from flush(now, heaps)
 
     return f
 
@@ -146,13 +157,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     def blocks(df: DataFrame, side: str) -> DataFrame:
         df = usable(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")))
         df = df.distinct() if side == "q" else df
-        b = df.mapInPandas(_pack(side, block_rows), BLOCK_SCHEMA).withColumn("part", F.spark_partition_id())
+        b = df.mapInPandas(lean(_pack(side, block_rows)), BLOCK_SCHEMA).withColumn("part", F.spark_partition_id())
         return scratch.keep(b.drop("side"), side).select("dim", *[F.col(c).alias(f"{side}_{c}") for c in ("part", "block", "ids", "vectors", "codes", "scales", "errors")])
 
-    # each task holds one group of candidate blocks and streams all query blocks of its tiles through them
+    # a join builds a table of one tile of candidate blocks and streams the query blocks; those of the tile meet a query block one after
+    # the other, so a task holds the heaps of one query block
     q, c = blocks(queries, "q"), blocks(vectors, "c")
-    c = c.withColumn("tile", F.pmod(F.xxhash64("c_part", "c_block"), F.lit(parts)).cast("int"))
-    q = q.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = q.hint("shuffle_hash").join(c, ["tile", "dim"]).mapInArrow(_search(k), "q_part int, dim int, q_block long, q_row int, query_id long, vec_id long, score double")
+    tiles = max(parts, -(-c.count() // TILE))
+    c = c.withColumn("tile", F.pmod(F.xxhash64("c_part", "c_block"), F.lit(tiles)).cast("int"))
+    q = q.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    found = q.join(c.hint("shuffle_hash"), ["tile", "dim"]).mapInArrow(lean(_search(k)), "q_part int, dim int, q_block long, q_row int, query_id long, vec_id long, score double")
     w = Window.partitionBy("q_part", "dim", "q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
