@@ -28,9 +28,9 @@ from .kernels import U, mix, overlap, text_sets
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 #: Further stars of a bucket that the first one left open.
-CENTRES = 6
+CENTRES = 3
 #: Nodes of a bucket whose signatures are compared in one task; a larger bucket is split first.
-HELD = 1024
+HELD = 512
 #: Bins of the finer sketch by which they are compared, one byte each. A pair is dropped where its differing bins rule the similarity
 #: out, or where at least FEW bins are filled and show it SIGMAS standard deviations too low.
 FINE, FEW, SIGMAS = 1024, 128, 5
@@ -345,8 +345,17 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     tried = pairs_of("star")
 
     def joined(more: DataFrame, name: str) -> DataFrame:
-        """The components once more links are known; as they were if there are none."""
-        return components(links, nodes, scratch, f"{name}-comp") if more.limit(1).count() else comp
+        """The components once these links are known too: they are closed over the components there are, not over all links anew."""
+        if not more.limit(1).count():
+            return comp
+        for end in ("a", "b"):
+            more = more.join(comp.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+        more = scratch.keep(more.filter("a <> b").distinct(), f"{name}-between")
+        if not more.limit(1).count():
+            return comp
+        up = components(more, nodes, scratch, f"{name}-comp")
+        lifted = comp.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        return scratch.keep(lifted.union(up.join(comp.select("node"), "node", "left_anti").select("node", "comp")), name + "-all")
 
     for depth in range(1, DEPTH + 1):
         rows = opened(buckets, comp, f"open{depth}")
@@ -357,7 +366,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         more = rows.filter("comp <> main").select("key", "node", "n").join(top, "key").filter(could(F.col("n"), F.col("n_a"), num, den))
         more = more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = confirmed(more, f"stars{depth}")
-        links, tried = links.union(new), tried.union(pairs_of(f"stars{depth}"))
+        tried = tried.union(pairs_of(f"stars{depth}"))
         comp = joined(new, f"stars{depth}")
         rows = opened(rows, comp, f"left{depth}")
         large = rows.filter(F.col("size") > HELD)
@@ -381,13 +390,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         held = held.select("key", "one", "two", "path", "node", "comp", "n", "block", "bins", "bands")
         near = held.mapInArrow(lean(_near(num, den)), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         new = confirmed(near, f"near{depth}")
-        links, tried = links.union(new), tried.union(pairs_of(f"near{depth}"))
+        tried = tried.union(pairs_of(f"near{depth}"))
         comp = joined(new, f"near{depth}")
         if not deeper:
             break
         buckets = shared(split.join(halved, "parent", "left_semi").drop("parent"), f"buckets{depth}")
         new = confirmed(star(buckets).join(tried, ["a", "b"], "left_anti"), f"star{depth}")
-        links, tried = links.union(new), tried.union(pairs_of(f"star{depth}"))
+        tried = tried.union(pairs_of(f"star{depth}"))
         comp = joined(new, f"star{depth}")
     placed = sketch.select("doc_id", "n_shingles", "d1", "d2").join(sets.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comp, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
