@@ -64,15 +64,24 @@ def test_line_dedup(spark, rows):
 
 
 def test_line_runs_compact(spark):
-    runs = line_dedup.LineRuns(spark, buckets=2)
+    """A hash stands in the run of the batch in which it was new; later batches only update its count."""
     kind = "key string, n_docs long, last_doc long"
-    runs.add(spark.createDataFrame([("a", 1, 5), ("b", 2, 3)], kind))
-    assert [r["key"] for r in runs.novel(spark.createDataFrame([("a",), ("c",)], "key string")).collect()] == ["c"]
-    runs.add(spark.createDataFrame([("a", 4, 2), ("c", 1, 9)], kind))
-    assert list(runs.levels) == [0, 1] and not runs.levels[0]
-    runs.add(spark.createDataFrame([("c", 1, 1)], kind))
-    assert sorted((r["key"], r["n_docs"], r["last_doc"]) for r in runs.merged().collect()) == [("a", 5, 5), ("b", 2, 3), ("c", 2, 9)]
-    runs.close()
+    batches = [[("a", 1, 5), ("b", 2, 3)], [("a", 4, 2), ("c", 1, 9)], [("c", 1, 1)], [("a", 1, 8), ("d", 1, 1)], [("e", 1, 1)]]
+    with line_dedup.LineRuns(spark, buckets=2) as runs:
+        want: dict = {}
+        for rows in batches:
+            runs.add(spark.createDataFrame(rows, kind))
+            for k, n, d in rows:
+                m, last = want.get(k, (0, d))
+                want[k] = m + n, max(last, d)
+            held = [r["key"] for t in runs.tables() for r in spark.table(t).collect()]
+            assert sorted(held) == sorted(want)  # each once
+            assert {r["key"]: (r["n_docs"], r["last_doc"]) for r in runs.merged().collect()} == want
+        assert [r["key"] for r in runs.novel(spark.createDataFrame([("a",), ("x",)], "key string")).collect()] == ["x"]
+        assert sum(map(len, runs.levels.values())) < len(batches)
+        assert sum(r["n_docs"] for t in runs.updates for r in spark.table(t).collect()) == 6
+        name = runs.name
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(name)]
 
 
 def test_repeats(spark, rows):
