@@ -4,7 +4,8 @@ Two strings that are equal have the same least hash among their k-grams, so ever
 consecutive starts with one owner are one run. Equal strings are owned by equal hashes: only runs whose hash
 occurs again, in another run or in themselves, can repeat anything. Runs that are equal as a whole repeat in every string; what is left - runs that equal no other
 as a whole, beside one copy of those with the same owner - is dealt into shards by owner, and the
-induced sort of each shard's text finds the strings that start twice. A shard's text, sample, ranks and names are held in memory,
+induced sort of each shard's text finds the strings that start twice. Whether runs of one owner are equal is told by 64 bits mixed from
+two unrelated fingerprints, one of them modulo a prime. A shard's text, sample, ranks and names are held in memory,
 only the queues of the sort spill; an owner's runs are not split, so the runs of one owner must fit in a task.
 """
 
@@ -16,16 +17,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, need, partitions
-from .induced import repeated_starts
+from .common import Scratch, lean, need, partitions
+from .induced import BASE, MEMORY, repeated_starts
 from .kernels import _BASE, _INV, U, _power, chunks, mix, utf8_batch
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text that a shard holds on average.
 SHARD = 3 << 20
+#: The modulus and base of the second fingerprint of a run.
+PRIME, _ROOT = (1 << 31) - 1, 1_103_515_245
+_residues: dict[int, np.ndarray] = {}
 _RAW = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
+def _residue_powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo PRIME."""
+    have = _residues.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate([have, have * U(pow(base, len(have), PRIME)) % U(PRIME)])
+        if n <= 1 << 22:  # not kept for one very long text
+            _residues[base] = have
+    return have
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Of a chunk: text, first start, number of starts, owner, a digest of the bytes of every run, and whether its owner may occur twice in it."""
     n, w = len(data), length - gram + 1
@@ -60,6 +76,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     count = ends[np.searchsorted(ends, start, side="right")] - start
     text = np.searchsorted(offsets, start, side="right") - 1
     digest = mix((total[start + count - 1 + length] - total[start]) * inv[start] + count.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    value = np.zeros(n + 1, np.uint64)
+    np.cumsum((_RAW[data] >> U(33)) * _residue_powers(_ROOT, n)[:n] % U(PRIME), out=value[1:])
+    second = (value[start + count - 1 + length] - value[start]) % U(PRIME) * _residue_powers(pow(_ROOT, -1, PRIME), n)[start] % U(PRIME)
+    digest = mix(digest ^ (second * U(0xC2B2AE3D27D4EB4F)))
     return text, start - offsets[text], count, least[start].view(np.int64), digest.view(np.int64), np.isin(least[start], twin)
 
 
@@ -111,7 +131,7 @@ def _cut(length: int):
     return f
 
 
-def _sort_shard(length: int, folder=None):
+def _sort_shard(length: int, base: int = BASE, memory: int = MEMORY, folder=None):
     """Rows in order (shard, key, start): the pieces of a document that touch are one segment. Yields key, start, end of what repeats."""
 
     def solve(segments):
@@ -123,7 +143,7 @@ def _sort_shard(length: int, folder=None):
         for a, r in zip(at.tolist(), raw):
             t[a : a + len(r)] = np.frombuffer(r, np.uint8).astype(np.uint16) + 2
         t[-1] = 0
-        hit = repeated_starts(t, length, folder=folder)
+        hit = repeated_starts(t, length, base, memory, folder)
         left = np.zeros(len(t), np.int64)
         left[:-1] = np.repeat(at + sizes - 1, sizes) - np.arange(len(t) - 1)
         hit &= left >= length  # not across segments
@@ -183,9 +203,11 @@ def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "rows")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, base: int = BASE, memory: int = MEMORY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of docs (doc_id, text; other columns are ignored).
 
+    shard: bytes of text sorted at a time, on average; base: names sorted directly; memory: entries of a queue held before it spills.
+
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in this text or another, copies
     and overlaps included; matches do not cross texts and are judged on the input. A null text is empty. Texts shorter than length
     keep all. Rows with a null or a repeated doc_id are texts of their own. An empty table gives an empty result.
@@ -194,7 +216,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     rows = _keyed(docs, scratch)
-    every = scratch.keep(rows.select("key", "text").mapInArrow(_runs(length), "owner long, digest long, key long, start long, n long, twice boolean"), "runs")
+    every = scratch.keep(rows.select("key", "text").mapInArrow(lean(_runs(length)), "owner long, digest long, key long, start long, n long, twice boolean"), "runs")
     again = every.groupBy("owner").agg(F.count(F.lit(1)).alias("m"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.bool_or("twice").alias("twice")).filter("m > 1 OR twice")
     again = again.select("owner", ((F.col("m") == 1) | (F.col("lo") != F.col("hi"))).alias("mixed"))
     shared = scratch.keep(every.drop("twice").join(again, "owner"), "shared")
@@ -206,14 +228,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     open_owners = kinds.filter("m = 1").select("owner").distinct()
     ask = kinds.join(open_owners, "owner", "left_semi").select("owner", "one.key", "one.start", "one.n")
     total = ask.agg(F.sum(F.col("n") + length).alias("n")).first()["n"] or 0
-    shards = max(1, int(total // SHARD))
+    shards = max(1, int(total // shard))
     ask = ask.select("key", F.struct(F.pmod("owner", F.lit(shards)).alias("shard"), "start", "n").alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs"))
-    pieces = ask.hint("shuffle_hash").join(rows.select("key", "text"), "key").mapInArrow(_cut(length), "shard long, key long, start long, bytes binary")
+    pieces = ask.hint("shuffle_hash").join(rows.select("key", "text"), "key").mapInArrow(lean(_cut(length)), "shard long, key long, start long, bytes binary")
     pieces = scratch.keep(pieces, "pieces")
     scratch.release()
     n = min(max(partitions(spark), shards), 100_000)
     dealt = pieces.repartition(n, "shard").sortWithinPartitions("shard", "key", "start")
-    found = scratch.keep(dealt.mapInArrow(_sort_shard(length), "key long, start long, stop long"), "found")
+    found = scratch.keep(dealt.mapInArrow(lean(_sort_shard(length, base, memory)), "key long, start long, stop long"), "found")
     scratch.drop("pieces")
     scratch.release()
     # runs that occur whole more than once
@@ -228,4 +250,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = scratch.keep(spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     scratch.drop("shared", "kinds", "found")
     scratch.release()
-    return rows.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans").mapInArrow(lean(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -91,6 +91,24 @@ def test_repeats(spark, rows):
         assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got.collect()), key=key) == sorted(brute.repeats(r), key=key)
 
 
+def test_repeats_out_of_core(spark, rows):
+    """With names and queues that fit nowhere, the sort recurses and spills, to the same result."""
+    got = suffix_dedup.remove_repeats(frame(spark, rows), shard=1 << 14, base=2, memory=64)
+    assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got.collect()) == sorted(brute.repeats(rows))
+
+
+def test_digests_tell_runs_apart():
+    """Runs have equal digests where their bytes are equal, and only there, also for texts of much alike structure."""
+    bits = "0"
+    while len(bits) < 4096:
+        bits += bits.translate(str.maketrans("01", "10"))
+    values = [bits, bits.translate(str.maketrans("01", "10")), "ab" * 3000, "ba" * 3000, "=" * 5000, bits + "x"]
+    data, off = kernels.utf8_batch(pa.array(values))
+    text, start, n, _, digest, _ = suffix_dedup.runs(data, off)
+    raw = [bytes(data[off[t] + s : off[t] + s + k + 199]) for t, s, k in zip(text, start, n)]
+    assert len(set(raw)) == len(set(digest.tolist())) == len(set(zip(raw, digest.tolist())))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=120), st.integers(2, 12), st.booleans())
 def test_induced_sort(values, length, small):
