@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylight.session import written
+
 
 def cols(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -76,8 +78,18 @@ def asof_backward(left: DataFrame, right: DataFrame, keys, time: str, right_time
 
 
 def nearest_gap(source: DataFrame, target: DataFrame, keys, s_time: str, t_time: str, s_id: str, t_id: str) -> DataFrame:
-    """One pair a key: the least non-negative target - source, then the latest source, then ids (JOI-16)."""
-    j = source.join(target, cols(keys)).withColumn("gap", F.col(t_time) - F.col(s_time)).filter("gap >= 0")
+    """One pair a key: the least non-negative target - source, then the latest source, then ids (JOI-16).
+
+    Each target only needs the latest source at or before it, of least id: one window over both sides, no pairs.
+    """
+    k = cols(keys)
+    own = [c for c in source.columns if c not in k], [c for c in target.columns if c not in k]
+    a = source.select(*k, F.col(s_time).alias("__t"), F.struct(*own[0]).alias("__s"), F.lit(None).cast(target.select(F.struct(*own[1]).alias("x")).schema["x"].dataType).alias("__e"))
+    b = target.select(*k, F.col(t_time).alias("__t"), F.lit(None).cast(source.select(F.struct(*own[0]).alias("x")).schema["x"].dataType).alias("__s"), F.struct(*own[1]).alias("__e"))
+    # of the sources of one time the one of least id comes last; targets follow the sources of their time
+    w = Window.partitionBy(*k).orderBy("__t", F.col("__e").isNotNull(), F.desc(f"__s.{s_id}")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b).filter("__t IS NOT NULL").withColumn("__s", F.last("__s", ignorenulls=True).over(w)).filter("__e IS NOT NULL AND __s IS NOT NULL")
+    j = both.select(*k, "__s.*", "__e.*").withColumn("gap", F.col(t_time) - F.col(s_time))
     return first_per_key(j, keys, "gap", F.desc(s_time), s_id, t_id)
 
 
@@ -135,21 +147,38 @@ def fill(first: DataFrame, second: DataFrame, keys, value: str, names=("first",
     return a.join(b, k, "full_outer").select(*k, F.coalesce("__a", "__b").alias(value), F.when(F.col("__a").isNotNull(), names[0]).otherwise(names[1]).alias("origin"))
 
 
-def closure(spark, nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
-    """node, depth, path (root first), cyclic: parent chains by a recursive query that stops at a cycle (JOI-26)."""
-    nodes.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")).createOrReplaceTempView("__closure")
-    return spark.sql(f"""
+def closure(spark, nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, depth, path (root first), cyclic: parent chains by a recursive query that stops at a cycle (JOI-26).
+
+    A chain longer than Spark's recursion limits (spark.sql.cteRecursionLevelLimit, ...RowLimit) is an error, not a shorter path.
+    """
+    t = nodes.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"))
+    return spark.sql("""
 WITH RECURSIVE up(node, at, depth, path, cyclic) AS (
-  SELECT node, parent, 0, array(node), false FROM __closure
+  SELECT node, parent, 0, array(node), false FROM {t}
   UNION ALL
   SELECT u.node, c.parent, u.depth + 1, concat(array(c.node), u.path), array_contains(u.path, c.node)
-  FROM up u JOIN __closure c ON u.at = c.node WHERE NOT u.cyclic AND u.depth < {most})
-SELECT node, max(depth) AS depth, max_by(path, depth) AS path, bool_or(cyclic) AS cyclic FROM up GROUP BY node""")
+  FROM up u JOIN {t} c ON u.at = c.node WHERE NOT u.cyclic)
+SELECT node, max(depth) AS depth, max_by(path, depth) AS path, bool_or(cyclic) AS cyclic FROM up GROUP BY node""", t=t)
 
 
 # --- ordered operators ---------------------------------------------------------------------------
 
 
+def ordinals(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """df with the place of each row, from 1, in a total order: ranges of it are sorted each in its partition, and only a count a partition is summed.
+
+    The ranges are written once, for Spark draws their bounds from samples that may differ when they are made again.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    placed = written(ranged.select("*", part.alias("__part"), row.alias("__row")).drop("__id"))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("__part", before.alias("__base"))
+    return placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__row") + 1).drop("__part", "__row", "__base")
+
+
 def consecutive(df: DataFrame, keys, order: Sequence, id: str) -> DataFrame:
     """An edge from each row to the next one of its key (WIN-01)."""
     w = Window.partitionBy(*cols(keys)).orderBy(*order)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +9,7 @@ from quarrylight import functions as X
 from quarrylight import operators as O
 from quarrylight import streaming as R
 from quarrylight.operators import jsonschema as J
-from quarrylight.session import ship
+from quarrylight.session import shared_folder, ship
 from quarrylight.session import table as T
 
 QUERIES: dict = {}
@@ -37,12 +34,6 @@ def labelled(s, d, *cols):
     return T(s, d, "documents").select("doc_id", *cols).join(T(s, d, "labels"), "doc_id", "left")
 
 
-def folder(s) -> str:
-    """A folder that driver and executors share."""
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarrylight-')}"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
@@ -75,7 +66,7 @@ def src21_parameters(s, d):
 @q("SELECT (SELECT count(*) FROM part) AS rows, ceil((SELECT count(*) FROM part) / 250)::BIGINT AS chunks, (SELECT least(250, count(*)) FROM part) AS most")
 def snk01_chunked_writer(s, d):
     """Files of at most 250 records, and the manifest that a reader can check them by."""
-    path = folder(s)
+    path = shared_folder(s)
     T(s, d, "part").coalesce(1).write.option("maxRecordsPerFile", 250).parquet(path)
     files = s.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(n().alias("rows"))
     return files.agg(F.sum("rows").alias("rows"), n().alias("chunks"), F.max("rows").alias("most"))
@@ -103,7 +94,7 @@ def snk10_trigram_index(s, d):
 
 @q("SELECT 2::BIGINT AS rows, 1::BIGINT AS actions")
 def snk13_append_log(s, d):
-    path = folder(s)
+    path = shared_folder(s)
     row = s.createDataFrame([("search", "q")], "action string, query string").select("action", F.sha2(F.col("query").cast("binary"), 256).alias("query_hash"))
     row.write.mode("append").parquet(path)
     row.write.mode("append").parquet(path)
@@ -113,7 +104,7 @@ def snk13_append_log(s, d):
 @q("SELECT count(*) AS rows FROM region")
 def str10_exactly_once(s, d):
     """A chunk that arrives again is still there once."""
-    sink = R.Receipts(folder(s))
+    sink = R.Receipts(shared_folder(s))
     for batch in (0, 0):
         sink(T(s, d, "region"), batch)
     return sink.read(s).agg(n().alias("rows"))

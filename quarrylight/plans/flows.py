@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from quarrylight import functions as X
 from quarrylight import operators as O
 from quarrylight import streaming as R
-from quarrylight.session import ship
+from quarrylight.session import shared_folder, ship
 from quarrylight.session import table as T
 
 QUERIES: dict = {}
@@ -201,12 +201,9 @@ def snk11_fail_closed(s, d):
 @q("SELECT count(*) AS rows, 0::BIGINT AS differences FROM nation")
 def snk12_versioned_publish(s, d):
     """Stage a release, verify it, swap the pointer, read it back through the pointer."""
-    import tempfile
-
     from quarrylight.release import publish, read_release
 
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    root = f"{root}/release-{uuid.uuid4().hex}"
+    root = shared_folder(s)
     nation = T(s, d, "nation")
     publish(nation, root, ["n_nationkey"])
     back = read_release(s, root)
@@ -219,10 +216,11 @@ def snk12_versioned_publish(s, d):
 @q("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), u AS (SELECT doc_id, i, trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') AS body FROM l)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordinal, sha256(body) AS sha FROM u WHERE length(body) BETWEEN 24 AND 2200 AND len(regexp_extract_all(body, '[A-Za-z0-9]')) > 0.55 * length(body)""")
 def grf01_corpus_build(s, d):
-    l = T(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "i", X.normalize_block(F.col("line")).alias("body"))
-    size = F.length("body")
-    l = l.filter(size.between(24, 2200) & (X.meaningful_characters(F.col("body"), "[A-Za-z0-9]") > 0.55 * size))
-    return l.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")).cast("long").alias("ordinal"), F.sha2(F.col("body").cast("binary"), 256).alias("sha"))
+    """Paragraphs are normalised, gated and numbered within the row, each once: nothing is shuffled."""
+    bodies = F.transform(F.split("text", "\n", -1), X.normalize_block)
+    kept = F.filter(bodies, lambda b: F.length(b).between(24, 2200) & (X.meaningful_characters(b, "[A-Za-z0-9]") > 0.55 * F.length(b)))
+    l = T(s, d, "documents").select("doc_id", F.posexplode(kept).alias("i", "body"))
+    return l.select("doc_id", (F.col("i") + 1).cast("long").alias("ordinal"), F.sha2(F.col("body").cast("binary"), 256).alias("sha"))
 
 
 SURFACES = ("tion", "with", "ment", "keit", "mente")

@@ -242,9 +242,7 @@ def joi06_anti(s, d):
 
 @q("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def joi07_in_subquery(s, d):
-    T(s, d, "part").createOrReplaceTempView("part")
-    T(s, d, "lineitem").createOrReplaceTempView("lineitem")
-    return s.sql("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+    return s.sql("SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_returnflag = 'R')", part=T(s, d, "part"), lineitem=T(s, d, "lineitem"))
 
 
 @q("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -497,7 +495,7 @@ def srt05_top_k(s, d):
 def srt06_reading_order(s, d):
     """Bands of y first, then x: a total order, where comparing by 'close enough' is not transitive. Ranked over a range-partitioned sort."""
     e = T(s, d, "embeddings").select("vec_id", F.floor(F.col("embedding")[0].cast("double") / 0.012).alias("band"), F.col("embedding")[1].cast("double").alias("x"))
-    return e.withColumn("reading", F.row_number().over(Window.orderBy("band", "x", "vec_id"))).select("vec_id", F.col("reading").cast("long").alias("reading"))
+    return O.ordinals(e, ["band", "x", "vec_id"], "reading").select("vec_id", "reading")
 
 
 @q("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS priority FROM orders ORDER BY priority, o_custkey, o_orderkey""")
@@ -566,10 +564,12 @@ def set08_equivalence_or_conflict(s, d):
 @q("""WITH m AS (SELECT unnest(range(0, (SELECT max(doc_id) + 1 FROM documents))) AS id), g AS (SELECT id FROM m WHERE id NOT IN (SELECT doc_id FROM labels)),
 i AS (SELECT id, id - row_number() OVER (ORDER BY id) AS k FROM g) SELECT min(id) AS first, max(id) AS last, count(*) AS length FROM i GROUP BY k""")
 def set09_complement_islands(s, d):
-    top = T(s, d, "documents").agg(F.max("doc_id").alias("m"))
-    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("id"))
-    rest = every.join(T(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").withColumn("one", F.lit(1))
-    return O.islands(rest, "one", "id").select("first", "last", "length")
+    """Numbers are made by ranges; runs that a range's edge cuts are told by the row before, so a window holds one range, not all ids."""
+    top = T(s, d, "documents").agg(F.max("doc_id").alias("m")).first()["m"]
+    every = s.range(0, (-1 if top is None else top) + 1)
+    rest = every.join(T(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    place = O.ordinals(rest, ["id"], "place")  # an island has one difference of id and place
+    return place.groupBy((F.col("id") - F.col("place")).alias("k")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("length")).drop("k")
 
 
 @q("""SELECT 0::BIGINT AS in_both, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, 0::BIGINT AS unexpected FROM documents d LEFT JOIN labels l USING (doc_id)""")

@@ -95,8 +95,7 @@ def src12_inventory(s, d):
 
 @q("SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 100.0")
 def src14_prepared_statement(s, d):
-    T(s, d, "customer").createOrReplaceTempView("customer")
-    return s.sql("SELECT c_custkey FROM customer WHERE c_nationkey = :nation AND c_acctbal > :least", args={"nation": 3, "least": 100.0})
+    return s.sql("SELECT c_custkey FROM {customer} WHERE c_nationkey = :nation AND c_acctbal > :least", args={"nation": 3, "least": 100.0}, customer=T(s, d, "customer"))
 
 
 @q("SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE regexp_matches(event_type, '^(click|view)') GROUP BY 1")

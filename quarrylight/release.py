@@ -1,4 +1,4 @@
-"""Releases: immutable folders, a manifest with counts and digests, and one pointer that is swapped last."""
+"""Releases: immutable folders, a manifest with counts and digests, and numbered pointers, of which the last one holds."""
 
 from __future__ import annotations
 
@@ -15,15 +15,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then rename: a reader sees the old text or the new one."""
-    fs, temp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    """Write beside, then rename to a name that is not taken: a reader sees all of the text or no file."""
+    fs, temp = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(temp, True)
     out.write(bytearray(text.encode()))
     out.close()
     _, final = _fs(spark, path)
-    fs.delete(final, False)
-    if not fs.rename(temp, final):
-        raise OSError(f"cannot replace {path}")
+    if fs.exists(final) or not fs.rename(temp, final):
+        fs.delete(temp, False)
+        raise FileExistsError(path)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -33,6 +33,25 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())  # a pointer or a manifest: one small file
 
 
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete pointers; one small file a release."""
+    fs, p = _fs(spark, f"{root}/pointers")
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def _point(spark: SparkSession, root: str, text: str) -> None:
+    """A new pointer above all others; no older one is touched, so a reader at any time finds one. Of writers that meet, one takes the next number."""
+    for _ in range(100):
+        try:
+            return _write_text(spark, f"{root}/pointers/{max(_pointers(spark, root), default=0) + 1:012d}.json", text)
+        except FileExistsError:
+            continue
+    raise OSError(f"no free pointer in {root}")
+
+
 def table_digest(df: DataFrame, keys: list[str]) -> dict:
     """Rows, and an order-free digest: the sum of row hashes."""
     r = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum")).first()
@@ -51,17 +70,18 @@ def publish(df: DataFrame, root: str, keys: list[str], per_file: int | None = No
     if want != got:
         raise ValueError("the staged release differs from its source")
     _write_text(spark, f"{root}/manifest-{release.rpartition('/')[2]}.json", json.dumps(got | {"release": release}))
-    _write_text(spark, f"{root}/current.json", json.dumps({"manifest": f"{root}/manifest-{release.rpartition('/')[2]}.json"}))
+    _point(spark, root, json.dumps({"manifest": f"{root}/manifest-{release.rpartition('/')[2]}.json"}))
     return release
 
 
 def read_release(spark: SparkSession, root: str, fallback: str | None = None) -> DataFrame:
-    """Pointer, manifest, table, each checked; the fallback only if there is no pointer at all (SRC-17)."""
-    pointer = _read_text(spark, f"{root}/current.json")
-    if pointer is None:
+    """The last pointer, manifest, table, each checked; the fallback only if there never was a pointer (SRC-17)."""
+    numbers = _pointers(spark, root)
+    if not numbers:
         if fallback is None:
             raise FileNotFoundError(f"no release in {root}")
         return spark.read.parquet(fallback)
+    pointer = _read_text(spark, f"{root}/pointers/{numbers[-1]:012d}.json")
     text = _read_text(spark, json.loads(pointer)["manifest"])
     if text is None:
         raise ValueError("the pointer's manifest is missing")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
+from quarrylight.sources import read_optional
+
 #: Minutes until the next attempt, by failures so far, and the failures that quarantine.
 DELAYS, QUARANTINE = (10, 30, 120, 360), 5
 
@@ -144,17 +146,52 @@ def dedupe_stream(events: DataFrame, keys, within: str) -> DataFrame:
 
 
 class Receipts:
-    """A sink for foreachBatch that writes a chunk once: its receipt is part of the chunk's folder name."""
+    """A sink for foreachBatch: each chunk is written once, and counts once its receipt - rows and digest of what was read back - is there.
+
+    A chunk with a receipt is not written again; one without, of a run that died half-way, is written anew. expected: the number of chunks
+    that finalize() asks for.
+    """
+
+    def __init__(self, path: str, expected: int | None = None):
+        self.path, self.expected = path, expected
+
+    def _receipts(self, spark: SparkSession) -> DataFrame:
+        return read_optional(spark, f"{self.path}/receipts", "chunk long, rows long, digest string")
+
+    def done(self, spark: SparkSession) -> list[int]:
+        """Numbers of the chunks that have a receipt: one number a chunk."""
+        return sorted(r["chunk"] for r in self._receipts(spark).select("chunk").distinct().collect())
 
-    def __init__(self, path: str):
-        self.path = path
+    @staticmethod
+    def _digest(df: DataFrame):
+        return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
 
     def __call__(self, df: DataFrame, batch: int) -> None:
-        # a repeated batch overwrites its own folder, so it is there once
-        df.write.mode("overwrite").parquet(f"{self.path}/chunk={batch}")
+        spark = df.sparkSession
+        if batch in self.done(spark):
+            return
+        path = f"{self.path}/chunks/chunk={batch}"
+        df.write.mode("overwrite").parquet(path)
+        self._digest(spark.read.schema(df.schema).parquet(path)).select(F.lit(batch).cast("long").alias("chunk"), "rows", "digest").coalesce(1).write.mode("append").parquet(f"{self.path}/receipts")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        """Rows of the chunks that have receipts; a chunk that differs from its receipt is an error."""
+        got = None
+        for r in self._receipts(spark).dropDuplicates(["chunk"]).orderBy("chunk").collect():
+            df = spark.read.parquet(f"{self.path}/chunks/chunk={r['chunk']}")
+            if tuple(self._digest(df).first()) != (r["rows"], r["digest"]):
+                raise ValueError(f"chunk {r['chunk']} differs from its receipt")
+            got = df if got is None else got.unionByName(df)
+        if got is None:
+            raise FileNotFoundError(f"no chunk in {self.path}")
+        return got
+
+    def finalize(self, spark: SparkSession) -> DataFrame:
+        """read(), once all chunks from 0 to expected - 1 are there."""
+        lost = sorted(set(range(self.expected or 0)) - set(self.done(spark)))
+        if lost:
+            raise ValueError(f"chunks without receipt: {lost[:10]}")
+        return self.read(spark)
 
 
 def check_bijection(asked: DataFrame, answered: DataFrame, key: str) -> DataFrame:
