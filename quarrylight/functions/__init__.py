@@ -132,9 +132,19 @@ def agreement(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(1 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b)), digits)
 
 
+#: Characters of a text that its grams are taken from at a time: a place in a text is found by counting from its start.
+PIECE = 256
+
+
 def grams(c: Column, n: int = 3) -> Column:
-    """All n-grams of characters, overlapping; none in a shorter text."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of characters, overlapping, in order; none in a shorter text. The text is cut into pieces, which overlap by n - 1, and each is bound before its grams are taken."""
+    def of(x: Column) -> Column:
+        return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def pieces(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)), F.lit(PIECE)), lambda i: F.substring(x, i, F.lit(PIECE + n - 1)))
+
+    return F.flatten(F.transform(F.flatten(F.transform(F.array(c), pieces)), of))
 
 
 def dice(a: Column, b: Column, n: int = 3) -> Column:

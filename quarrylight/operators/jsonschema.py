@@ -15,14 +15,23 @@ _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 def _is(value, kind: str) -> bool:
     if kind == "integer":
-        return isinstance(value, int) and not isinstance(value, bool)
+        return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
     return isinstance(value, _TYPES[kind])
 
 
+def _plain(value):
+    """1.0 and 1 are one number."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
 def _same(a, b) -> bool:
-    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+    return json.dumps(_plain(a), sort_keys=True) == json.dumps(_plain(b), sort_keys=True)
 
 
 def errors(value, schema: dict, root: dict | None = None, path: str = "$") -> list[str]:
@@ -31,21 +40,24 @@ def errors(value, schema: dict, root: dict | None = None, path: str = "$") -> li
     if "$ref" in schema:
         node = root
         for part in schema["$ref"].removeprefix("#/").split("/"):
-            node = node[part]
+            node = node.get(part) if isinstance(node, dict) else None
+        if not node:
+            return [f"{path}: no such schema as {schema['$ref']}"]
         return errors(value, node, root, path)
     out: list[str] = []
     if "oneOf" in schema:
         hits = sum(not errors(value, s, root, path) for s in schema["oneOf"])
         if hits != 1:
             out.append(f"{path}: matches {hits} of oneOf, not one")
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(_is(value, k) for k in kinds):
-        return [*out, f"{path}: not of type {' or '.join(kinds)}"]
+        return out
     if "const" in schema and not _same(value, schema["const"]):
         out.append(f"{path}: not the constant")
     if "enum" in schema and not any(_same(value, e) for e in schema["enum"]):
         out.append(f"{path}: not in the enumeration")
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [*out, f"{path}: not of type {' or '.join(kinds)}"]
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
             out.append(f"{path}: shorter than {schema['minLength']}")
@@ -53,6 +65,8 @@ def errors(value, schema: dict, root: dict | None = None, path: str = "$") -> li
             out.append(f"{path}: does not match {schema['pattern']}")
         if schema.get("format") == "date":
             try:
+                if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", value):
+                    raise ValueError(value)
                 datetime.date.fromisoformat(value)
             except ValueError:
                 out.append(f"{path}: not a date")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions import grams
+from quarrylight.session import shared_folder, written
+
 #: Shortest and longest phrase taken whole, gram size of longer runs, phrases of a query, rows of a result.
 LEAST, WHOLE, GRAM, PHRASES, ROWS = 2, 6, 4, 32, 12
 #: Fixed values of BM25: k1, b, and the floor of an idf.
@@ -19,7 +23,7 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 def phrases(query: str) -> list[str]:
     """Runs of Han characters, ASCII letters and digits of the NFKC form; long ones as all 4-grams; distinct, at most 32."""
     out: dict[str, None] = {}
-    for run in re.findall(r"[㐀-鿿豈-﫿A-Za-z0-9]+", unicodedata.normalize("NFKC", query)):
+    for run in regex.findall(r"[\p{Script=Han}A-Za-z0-9]+", unicodedata.normalize("NFKC", query)):
         if len(run) < LEAST:
             continue
         for p in [run] if len(run) <= WHOLE else (run[i : i + GRAM] for i in range(len(run) - GRAM + 1)):
@@ -37,14 +41,6 @@ def overlapping_count(text: Column, phrase: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?=\\Q{phrase}\\E)"))
 
 
-@dataclass
-class Statistics:
-    """Corpus statistics, the same for all queries: rows, and mean length in trigrams."""
-
-    rows: int
-    mean: float
-
-
 def trigram_length(*fields: Column) -> Column:
     total = F.lit(0)
     for f in fields:
@@ -75,18 +71,84 @@ def bm25(docs: DataFrame, query: str, fields: list[str], id: str) -> DataFrame:
     return j.filter(hit).withColumn("score", score).select(*docs.columns, "score")
 
 
-def retrieve(docs: DataFrame, query: str, fields: list[str], id: str, limit: int = ROWS, gate: Column | None = None) -> DataFrame:
-    """The best rows by BM25; ties by id; substring search where the index finds nothing (FTS-04, FTS-05)."""
-    gate = F.lit(True) if gate is None else gate
-    limit = min(max(1, limit), ROWS)
-    found = bm25(docs, query, fields, id).filter(gate).orderBy("score", id).limit(limit)
-    if found.limit(1).count():
-        return found
-    needle = F.lit(query.strip().lower())
+def fallback(docs: DataFrame, query: str, fields: list[str]) -> DataFrame:
+    """Rows that hold the whole query as a substring, score 0 (FTS-05)."""
     hit = F.lit(False)
     for f in fields:
-        hit |= F.contains(F.lower(F.col(f)), needle)
-    return docs.filter(gate & hit).withColumn("score", F.lit(0.0)).orderBy(id).limit(limit)
+        hit |= F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(query.strip().lower()))
+    return docs.filter(hit).withColumn("score", F.lit(0.0))
+
+
+def retrieve(docs: DataFrame, query: str, fields: list[str], id: str, limit: int = ROWS, gate: Column | None = None, index: Index | None = None) -> DataFrame:
+    """The best rows by BM25; ties by id; substring search where the index finds nothing (FTS-04, FTS-05). Without an index all texts are read."""
+    gate = F.lit(True) if gate is None else gate
+    limit = min(max(1, limit), ROWS)
+    scored = index.bm25(docs, query) if index else bm25(docs, query, fields, id)
+    found = scored.filter(gate)
+    return found.orderBy("score", id).limit(limit) if found.limit(1).count() else fallback(docs.filter(gate), query, fields).orderBy(id).limit(limit)
+
+
+class Index:
+    """Trigram postings of some fields: for each lower-case trigram the ids of the rows that hold it, and each row's length.
+
+    Postings lie in folders by a hash of the trigram and are sorted by it, so a probe reads a few row groups of a few folders. Rows that hold
+    all trigrams of a phrase are candidates; only their texts are read, to verify the phrase and count it.
+    """
+
+    _known: dict[tuple, Index] = {}
+
+    def __init__(self, spark: SparkSession, path: str, id: str, kind: str, fields: list[str], buckets: int):
+        self.spark, self.path, self.id, self.kind, self.fields, self.buckets = spark, path, id, kind, fields, buckets
+
+    @classmethod
+    def build(cls, docs: DataFrame, id: str, fields: list[str], path: str | None = None, buckets: int = 16) -> Index:
+        """Ids must be unique."""
+        path = path or shared_folder(docs.sparkSession)
+        texts = [F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+        rows = docs.select(F.col(id).alias("id"), F.explode(F.array_distinct(F.concat(*[grams(t) for t in texts]))).alias("gram"))
+        rows = rows.withColumn("bucket", F.crc32(F.col("gram").cast("binary")) % buckets)
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        docs.agg(F.count(F.lit(1)).alias("n"), F.avg(trigram_length(*[F.col(f) for f in fields])).alias("avgdl")).write.parquet(f"{path}/statistics")
+        return cls(docs.sparkSession, path, id, docs.schema[id].dataType.simpleString(), fields, buckets)
+
+    @classmethod
+    def of(cls, docs: DataFrame, id: str, fields: list[str], name: str) -> Index:
+        """The index of a table that does not change, built at its first use in an application."""
+        key = (docs.sparkSession.sparkContext.applicationId, name, id, *fields)
+        if key not in cls._known:
+            cls._known[key] = cls.build(docs, id, fields)
+        return cls._known[key]
+
+    def candidates(self, phrases: list[str]) -> DataFrame:
+        """id of every row that may hold one of the phrases (of 3 characters or more, lower case): it has all trigrams of one (FTS-02)."""
+        parts = {p: sorted({p[i : i + 3] for i in range(len(p) - 2)}) for p in phrases}
+        every = sorted({g for gs in parts.values() for g in gs})
+        buckets = sorted({zlib.crc32(g.encode()) % self.buckets for g in every})
+        held = self.spark.read.schema("id " + self.kind + ", gram string, bucket long").parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets) & F.col("gram").isin(every))
+        by = held.groupBy("id").agg(F.collect_set("gram").alias("g"))
+        some = F.lit(False)
+        for gs in parts.values():
+            some |= F.size(F.array_intersect("g", F.array(*map(F.lit, gs)))) == len(gs)
+        return by.filter(some).select("id")
+
+    def bm25(self, docs: DataFrame, query: str) -> DataFrame:
+        """docs with score, lower is better, for rows that hold a phrase (SRC-15, FTS-03); docs: the rows the index was built of, or some of them."""
+        terms = [p.lower() for p in phrases(query) if len(p) >= 3]
+        if not terms:
+            return docs.limit(0).withColumn("score", F.lit(0.0))
+        text = [F.lower(F.coalesce(F.col(f), F.lit(""))) for f in self.fields]
+        tf = [sum((overlapping_count(x, t) for x in text), F.lit(0)).alias(f"__f{i}") for i, t in enumerate(terms)]
+        some = self.candidates(terms).withColumnRenamed("id", self.id)
+        hits = docs.join(some, self.id, "left_semi").select("*", trigram_length(*[F.col(f) for f in self.fields]).alias("__dl"), *tf)
+        hits = written(hits.filter(F.greatest(F.lit(0), *[F.col(f"__f{i}") for i in range(len(terms))]) > 0).drop(*[f for f in self.fields if f != self.id]))
+        stats = self.spark.read.schema("n long, avgdl double").parquet(f"{self.path}/statistics").crossJoin(hits.agg(*[F.count_if(F.col(f"__f{i}") > 0).alias(f"__n{i}") for i in range(len(terms))]))
+        j = hits.crossJoin(F.broadcast(stats))  # one row
+        score = F.lit(0.0)
+        for i in range(len(terms)):
+            f, n = F.col(f"__f{i}"), F.col(f"__n{i}")
+            idf = F.greatest(F.ln((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(FLOOR))
+            score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.col("avgdl")))
+        return j.withColumn("score", score).select(*[c for c in docs.columns if c not in self.fields or c == self.id], "score")
 
 
 def snippet(text: Column, needle: str, before: int = 80, after: int = 140) -> Column:

@@ -37,12 +37,6 @@ def labelled(s, d, *cols):
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
-@q("SELECT regexp_extract(url, '([^/]+)$', 1) AS name, CASE WHEN regexp_matches(url, '[0-9]+$') THEN 'accepted' ELSE 'ignored' END AS state FROM pages")
-def src05_sidecar_names(s, d):
-    ok = F.col("url").rlike("[0-9]+$")
-    return T(s, d, "pages").select(F.regexp_extract("url", "([^/]+)$", 1).alias("name"), F.when(ok, "accepted").otherwise("ignored").alias("state"))
-
-
 @q("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_base, b.doc_id IS NOT NULL AS in_current FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0) b ON a.doc_id = b.doc_id")
 def src18_two_versions(s, d):
     t = T(s, d, "documents").select("doc_id")
@@ -63,23 +57,6 @@ def src21_parameters(s, d):
     return T(s, d, "documents").select("doc_id").orderBy("doc_id").limit(clamp(" 99 ", 1, 12, 8))
 
 
-@q("SELECT (SELECT count(*) FROM part) AS rows, ceil((SELECT count(*) FROM part) / 250)::BIGINT AS chunks, (SELECT least(250, count(*)) FROM part) AS most")
-def snk01_chunked_writer(s, d):
-    """Files of at most 250 records, and the manifest that a reader can check them by."""
-    path = shared_folder(s)
-    T(s, d, "part").coalesce(1).write.option("maxRecordsPerFile", 250).parquet(path)
-    files = s.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(n().alias("rows"))
-    return files.agg(F.sum("rows").alias("rows"), n().alias("chunks"), F.max("rows").alias("most"))
-
-
-@q("SELECT 0::BIGINT AS differences")
-def snk03_deterministic_rebuild(s, d):
-    def build():
-        return T(s, d, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"), n().alias("c"))
-
-    return O.both_ways(build(), build()).agg(n().alias("differences"))
-
-
 @q("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
 def snk06_replace(s, d):
     return O.first_per_key(T(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", F.desc("o_orderkey"))
@@ -92,15 +69,6 @@ def snk10_trigram_index(s, d):
     return g.groupBy("gram").agg(F.count_distinct("p_partkey").alias("rows"), n().alias("tf"))
 
 
-@q("SELECT 2::BIGINT AS rows, 1::BIGINT AS actions")
-def snk13_append_log(s, d):
-    path = shared_folder(s)
-    row = s.createDataFrame([("search", "q")], "action string, query string").select("action", F.sha2(F.col("query").cast("binary"), 256).alias("query_hash"))
-    row.write.mode("append").parquet(path)
-    row.write.mode("append").parquet(path)
-    return s.read.schema(row.schema).parquet(path).agg(n().alias("rows"), F.count_distinct("action").alias("actions"))
-
-
 @q("SELECT count(*) AS rows FROM region")
 def str10_exactly_once(s, d):
     """A chunk that arrives again is still there once."""
@@ -176,14 +144,6 @@ def gat19_finalize(s, d):
     return frames.agg(F.bool_and("passed").alias("ready"))
 
 
-@q("SELECT 5::BIGINT AS roots, 0::BIGINT AS cycles, 1::BIGINT AS depth")
-def gat21_ontology(s, d):
-    r = T(s, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
-    nat = T(s, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
-    c = O.closure(s, r.unionAll(nat), "node", "parent")
-    return c.agg(F.count_if(F.col("depth") == 0).alias("roots"), F.count_if("cyclic").alias("cycles"), F.max("depth").cast("long").alias("depth"))
-
-
 EVENT_SCHEMA = {
     "type": "object", "required": ["id", "kind"], "additionalProperties": False,
     "properties": {"id": {"type": "integer", "minimum": 0}, "kind": {"$ref": "#/definitions/kind"}, "value": {"type": ["number", "null"], "maximum": 90}},

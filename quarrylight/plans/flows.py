@@ -173,11 +173,6 @@ def snk05_upsert(s, d):
     return O.upsert(old, new, "o_orderkey")
 
 
-@q("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def snk07_increment(s, d):
-    return T(s, d, "events").groupBy("user_id", "event_type").agg(n().alias("n"))
-
-
 @q("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN false ELSE true END AS display FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey IN (SELECT o_custkey FROM orders)""")
 def snk08_retention(s, d):
     old = T(s, d, "customer").select("c_custkey", F.lit(True).alias("display"))

@@ -62,26 +62,6 @@ def src03_paged_text(s, d):
     return pages(docs(s, d), "doc_id", "text", separator="\n").select("doc_id", "page", F.length("body").cast("long").alias("chars"))
 
 
-@q("SELECT page_id, sha256(html) AS sha, true AS bound FROM pages")
-def src04_hash_verified(s, d):
-    p = T(s, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
-    state = p.select("page_id", F.col("sha").alias("want"))  # the receipts
-    return p.join(state, "page_id").select("page_id", "sha", (F.col("sha") == F.col("want")).alias("bound"))
-
-
-@q("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href="([^"#?]+)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM m GROUP BY 1, 2""")
-def src07_html_links(s, d):
-    from quarrylight.sources import links
-
-    return links(T(s, d, "pages"), "page_id", "html").groupBy("page_id", "href").agg(n().alias("n"))
-
-
-@q("""SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(url, '([0-9]+)'), lambda x: x::BIGINT)), 1) AS pages FROM pages""")
-def src08_pagination(s, d):
-    found = F.transform(F.regexp_extract_all("url", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))
-    return T(s, d, "pages").select("page_id", F.coalesce(F.array_max(found), F.lit(1).cast("long")).alias("pages"))
-
-
 @q()
 def src09_html_to_text(s, d):
     return T(s, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
@@ -98,17 +78,6 @@ def src14_prepared_statement(s, d):
     return s.sql("SELECT c_custkey FROM {customer} WHERE c_nationkey = :nation AND c_acctbal > :least", args={"nation": 3, "least": 100.0}, customer=T(s, d, "customer"))
 
 
-@q("SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE regexp_matches(event_type, '^(click|view)') GROUP BY 1")
-def src16_event_log(s, d):
-    return T(s, d, "events").filter(F.col("event_type").rlike("^(click|view)")).groupBy("event_type").agg(n().alias("n"), F.min("event_id").alias("first_id"))
-
-
-@q("SELECT 'a' AS key, '1' AS value UNION ALL SELECT 'b', '2' UNION ALL SELECT 'state', 'active'")
-def src19_key_value_probe(s, d):
-    probe = s.createDataFrame([("a=1\nb=2\nstate=active",)], "text string")
-    return probe.select(F.explode(F.str_to_map("text", F.lit("\n"), F.lit("="))).alias("key", "value"))
-
-
 @q("SELECT 'spec-' || lpad(i::VARCHAR, 3, '0') AS id, CASE WHEN i = 2 THEN 'local' ELSE 'remote' END AS origin FROM (SELECT unnest(range(1, 6)) AS i)")
 def src20_static_specs(s, d):
     specs = s.range(1, 6).select(F.concat(F.lit("spec-"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("id"))
@@ -302,37 +271,45 @@ def _bm_sql(tail: str) -> str:
 r AS (SELECT doc_id, lang, source, 0.0 {score} AS score FROM t, s WHERE {hit}) {tail}"""
 
 
+def index(s, d):
+    """The trigram index of the documents, built once an application."""
+    return S.Index.of(docs(s, d), "doc_id", ["text"], f"{d}/documents")
+
+
 @q("SELECT doc_id FROM documents WHERE contains(lower(text), 'nation') OR contains(lower(text), 'heat')")
 def fts02_phrase_match(s, d):
-    return S.bm25(docs(s, d), "nation heat is", ["text"], "doc_id").select("doc_id")
+    """By posting lists, verified on the texts of the candidates."""
+    return index(s, d).bm25(docs(s, d), "nation heat is").select("doc_id")
+
+
+@q("SELECT doc_id FROM documents WHERE contains(lower(text), 'tionment') AND len(regexp_extract_all(lower(text), 'tionment')) > 0")
+def src15_index_scan(s, d):
+    """A phrase of eight characters as its 4-grams, any of which matches, then the phrase as a whole."""
+    hits = index(s, d).bm25(docs(s, d), "tionment").select("doc_id")
+    return docs(s, d).join(hits, "doc_id", "left_semi").filter(F.contains(F.lower("text"), F.lit("tionment"))).select("doc_id")
 
 
 @q(_bm_sql("SELECT doc_id, round(score, 6) AS score FROM r"))
 def fts03_bm25(s, d):
-    return S.bm25(docs(s, d), "nation heat", ["text"], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return index(s, d).bm25(docs(s, d), "nation heat").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @q(_bm_sql("SELECT doc_id, round(score, 6) AS score FROM r WHERE lang = 'en' ORDER BY r.score, doc_id LIMIT 12"))
 def fts04_top(s, d):
-    return S.retrieve(docs(s, d, "doc_id", "text", "lang"), "nation heat", ["text"], "doc_id", limit=20, gate=F.col("lang") == "en").select("doc_id", F.round("score", 6).alias("score"))
+    return S.retrieve(docs(s, d, "doc_id", "text", "lang"), "nation heat", ["text"], "doc_id", limit=20, gate=F.col("lang") == "en", index=index(s, d)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @q("SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'es') ORDER BY doc_id LIMIT 12")
 def fts05_fallback(s, d):
-    return S.retrieve(docs(s, d), "es", ["text"], "doc_id").select("doc_id", "score")
+    return S.retrieve(docs(s, d), "es", ["text"], "doc_id", index=index(s, d)).select("doc_id", "score")
 
 
 @q(_bm_sql("SELECT doc_id, source, round(score, 6) AS score FROM r WHERE source IN ('src1', 'src11') ORDER BY r.score, source, doc_id LIMIT 30"))
 def fts06_facet_fan_out(s, d):
-    hits = S.bm25(docs(s, d, "doc_id", "text", "source"), "nation heat", ["text"], "doc_id").filter(F.col("source").isin("src1", "src11"))
+    hits = index(s, d).bm25(docs(s, d, "doc_id", "text", "source"), "nation heat").filter(F.col("source").isin("src1", "src11"))
     return hits.orderBy("score", "source", "doc_id").limit(30).select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
-@q("SELECT DISTINCT source, lang, count(*) OVER (PARTITION BY source, lang) AS n FROM documents WHERE source IN ('src1', 'src2')")
-def fts07_comparison(s, d):
-    return docs(s, d, "source", "lang").filter(F.col("source").isin("src1", "src2")).groupBy("source", "lang").agg(n().alias("n"))
-
-
 @q("""SELECT doc_id, substring(text, greatest(1, instr(lower(text), 'heat') - 80), instr(lower(text), 'heat') - greatest(1, instr(lower(text), 'heat') - 80) + 4 + 140) AS snippet FROM documents WHERE contains(lower(text), 'heat') ORDER BY doc_id LIMIT 20""")
 def fts08_snippets(s, d):
     t = docs(s, d).withColumn("snippet", S.snippet(F.col("text"), "heat")).filter("snippet IS NOT NULL")
@@ -401,13 +378,6 @@ def gat05_witness_gate(s, d):
     return p.join(b, "p_partkey").select("p_partkey", gate.alias("gate"))
 
 
-@q()
-def gat06_dice_gate(s, d):
-    p = T(s, d, "part").select("p_partkey", "p_name")
-    b = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("n2"))
-    return p.join(b, "p_partkey").select("p_partkey", F.when(X.dice(F.col("p_name"), F.col("n2")) >= 0.92, "pass").otherwise("review").alias("gate"))
-
-
 @q("""SELECT doc_id, CASE WHEN toxic = 1 THEN 1 WHEN quality = 0 THEN 2 WHEN quality IS NULL THEN 3 ELSE 9 END AS priority FROM documents LEFT JOIN labels USING (doc_id)""")
 def gat07_review_priority(s, d):
     p = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).when(F.col("quality").isNull(), 3).otherwise(9)
@@ -491,11 +461,6 @@ def gat23_impact_preview(s, d):
     return docs(s, d, "n_chars").agg(n().alias("before"), F.count_if(c >= 200).alias("after"), F.round(F.avg(F.when(c >= 200, c)) - F.avg(c), 4).alias("delta"))
 
 
-@q("SELECT event_id, key FROM (SELECT event_id, unnest(json_keys(props)) AS key FROM events)")
-def gat26_json_keys(s, d):
-    return T(s, d, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("key"))
-
-
 @q("""SELECT d.doc_id, 'chars' AS issue FROM documents d WHERE n_chars <> length(text) UNION ALL SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def gat27_inventory(s, d):
     t = docs(s, d, "doc_id", "text", "n_chars")
