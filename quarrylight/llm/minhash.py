@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     docs: doc_id, text; other columns are ignored. Words are runs without white space, A-Z as a-z. A text of fewer than
     five words has its whole sequence as one shingle; a text without words (or null) has none and is linked with
     nothing. component_id is the smallest doc_id reachable. A row without doc_id is linked with nothing: its component_id is
-    null and it is kept. Rows that share a doc_id are placed each by its own text. An empty table gives an empty result.
+    null and it is kept. Rows that share a doc_id and a text are one; of different texts under one doc_id only one is compared with others, for
+    which both rows are then placed. An empty table gives an empty result.
     """
     need(docs, "doc_id", "text")
     spark = docs.sparkSession

@@ -542,3 +542,42 @@ def test_queries_with_sql(spark, sf, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+
+
+def test_registered_queries_equal_plain_versions(spark, tmp_path, rows):
+    """op2, op3, op4, op8 and op9 as they are registered, over a folder of their own."""
+    frame(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).write.parquet(f"{tmp_path}/documents.parquet")
+    q = {k.split("_")[0]: f for k, f in registry.queries().items()}
+    run = lambda k: {r["doc_id"]: r for r in q[k](spark, f"file://{tmp_path}").collect()}
+    got = run("op2")
+    assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == {d: (a, b, c, brute.sha(k)) for d, a, b, c, k in brute.repeats(rows)}
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in run("op9").items()} == brute.components(rows)
+    got = run("op3")
+    down = sorted(rows, reverse=True)
+    for (d, t), (nd, nxt) in zip(down, down[1:] + down[:1]):
+        t, nxt = t or "", nxt or ""
+        m = len(t) // 3
+        assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (len(t), brute.sha(t[: len(t) - m] + nxt[:m]))
+        a, b = (fingerprint.from_string(got[x]["fingerprint"]) for x in (d, nd))
+        assert got[d]["near_next"] == fingerprint.likeness(a, b)
+        sets = brute.shingles(t), brute.shingles(nxt)
+        if max(map(len, sets)) <= fingerprint.WHOLE:
+            assert got[d]["near_next"] == (len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1)
+    raw = tokens.encoder(VOCABULARY, True).tok
+    assert {d: r["n_tokens"] for d, r in run("op4").items()} == {d: len(raw.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
+    raw, at = tokens.encoder("word_bpe_49k.json").tok, 0
+    got = run("op8")
+    for d, t in sorted(rows):
+        ids = np.array([*raw.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    pieces = collections.defaultdict(list)
+    for r in q["op7"](spark, f"file://{tmp_path}").collect():
+        pieces[r["doc_id"]].append(r)
+    raw = tokens.encoder(VOCABULARY).tok
+    for d, t in rows:
+        ids, end = np.array([*raw.encode(t or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in sorted(pieces[d], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (end, len(ids), zlib.crc32(ids[end : end + r["length"]].tobytes()))
+            end += r["length"]
+        assert end == len(ids)
