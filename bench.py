@@ -1,4 +1,4 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line. With $BENCH_DUCKDB also their DuckDB twins, on as many threads."""
 
 from __future__ import annotations
 
@@ -19,6 +19,27 @@ HEADLINE = (
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
+def duckdb_times(sf: str) -> dict[str, float]:
+    """Median seconds of the twins, results fetched."""
+    import duckdb
+
+    from quarrylight import plans
+    from quarrylight.session import TABLES
+
+    con = duckdb.connect(config={"threads": os.environ.get("BENCH_CPUS", "8")})
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    took = {}
+    for name in HEADLINE:
+        times = []
+        for _ in range(1 + RUNS):
+            began = time.perf_counter()
+            con.sql(plans.oracle_sql()[name]).fetchall()
+            times.append(time.perf_counter() - began)
+        took[name] = round(sorted(times[1:])[len(times[1:]) // 2], 4)
+    return took
+
+
 def main() -> None:
     from quarrylight import plans
     from quarrylight.session import local_session
@@ -35,7 +56,8 @@ def main() -> None:
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
         took[name] = round(sorted(times[1:])[len(times[1:]) // 2], 4)
-    print(json.dumps({"metric": "sum of median warm query times", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}), flush=True)
+    more = {"duckdb": duckdb_times(sf)} if os.environ.get("BENCH_DUCKDB") else {}
+    print(json.dumps(more | {"metric": "sum of median warm query times", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}), flush=True)
     spark.stop()
 
 
