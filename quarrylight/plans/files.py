@@ -149,9 +149,10 @@ def snk01_chunked_writer(s, d):
     placed.withColumn("chunk", F.floor((F.col("place") - 1) / 250)).repartition("chunk").write.partitionBy("chunk").parquet(path)
 
     def manifest():
+        # a task gives its files in several chunks' folders one name
         files = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-        sums = files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
-        rows = s.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(n().alias("rows"))
+        sums = files.select(F.substring_index("path", "/", -2).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
+        rows = s.read.parquet(path).groupBy(F.substring_index("_metadata.file_path", "/", -2).alias("name")).agg(n().alias("rows"))
         return sums.join(rows, "name")
 
     kept = written(manifest())
