@@ -26,7 +26,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_shares(docs: DataFrame) -> DataFrame:
-    """src, docs, tokens and share of every source that has tokens; docs: __src, __tokens."""
+    """src, docs, tokens and share of every source that has tokens; docs: __src, __tokens, best a written table, as it is read twice."""
     by = docs.groupBy("__src").agg(F.count(F.lit(1)).alias("docs"), F.sum("__tokens").alias("tokens")).filter("tokens > 0")
     total = by.agg(F.sum("tokens").alias("total"))
     return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("tokens") / F.col("total"))
@@ -83,7 +83,9 @@ def mix_sources(
         "__src": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "source")),
         "__row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "source")]),
     })
-    shares = scratch.keep(source_shares(rows), "shares")
+    # shares and block sums need no texts: their words are counted once for both, and once more for the rows themselves
+    counts = scratch.keep(rows.select("doc_id", "__src", "__tokens"), "counts")
+    shares = scratch.keep(source_shares(counts), "shares")
     size = shares.agg(F.max("docs").alias("docs")).first()["docs"] or 0
     tau = bisect_exponent(shares, max_repeat, target_entropy)
     blocks = 2 ** max(0, math.ceil(math.log2(max(1.0, size / block_docs))))
@@ -94,14 +96,19 @@ def mix_sources(
         (F.pow("share", F.lit(tau)) / F.col("z")).alias("weight"),
     ).withColumns({"__full": F.floor("epochs"), "__rest": F.floor((F.col("epochs") - F.floor("epochs")) * F.col("tokens") + F.lit(1e-6))})
     plan = scratch.keep(plan.withColumnRenamed("tokens", "__all"), "plan")
-    rows = rows.join(plan, "__src", "left").withColumns({
-        "epochs": F.coalesce("epochs", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(0.0)),
-        "__full": F.coalesce("__full", F.lit(1)), "__rest": F.coalesce("__rest", F.lit(0)), "__all": F.coalesce("__all", F.lit(0)),
-    })
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full") - F.when(F.col("__rest") > 0, 0).otherwise(1))))
-    rows = rows.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    rows = rows.withColumn("block", (F.conv(F.substring("__key", 1, 7), 16, 10).cast("long") * blocks / F.lit(16**7)).cast("long"))
-    sums = rows.groupBy("__src", "epoch", "block").agg(F.sum("__tokens").alias("__sum"))
+
+    def read(x: DataFrame) -> DataFrame:
+        """Each row once an epoch, with its block there."""
+        x = x.join(plan, "__src", "left").withColumns({
+            "epochs": F.coalesce("epochs", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(0.0)),
+            "__full": F.coalesce("__full", F.lit(1)), "__rest": F.coalesce("__rest", F.lit(0)), "__all": F.coalesce("__all", F.lit(0)),
+        })
+        x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full") - F.when(F.col("__rest") > 0, 0).otherwise(1))))
+        x = x.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+        return x.withColumn("block", (F.conv(F.substring("__key", 1, 7), 16, 10).cast("long") * blocks / F.lit(16**7)).cast("long"))
+
+    rows = read(rows)
+    sums = read(counts).groupBy("__src", "epoch", "block").agg(F.sum("__tokens").alias("__sum"))
     w = Window.partitionBy("__src", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__src", "epoch", "block", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__src", "epoch", "block").orderBy("__key", "doc_id", "__row").rowsBetween(Window.unboundedPreceding, -1)
