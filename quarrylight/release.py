@@ -99,3 +99,58 @@ def keep_generated_at(old: DataFrame | None, new: DataFrame, column: str = "gene
     a, b = old.drop(column), new.drop(column)
     same = a.columns == b.columns and not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
     return old if same else new
+
+
+def install(pages: DataFrame, root: str, receipt: str, seen: dict[str, str | None] | None = None) -> str:
+    """All documents of a transaction, or none (SNK-14): staged, read back, moved to their places, their states renewed, and last of all a receipt.
+
+    pages: document, page and any other columns. A document that is there already, a state other than `seen` (document -> text of the state as
+    the caller read it, None if there was none), or a receipt of this name ends the transaction; what was moved is then taken away again and old states are put back.
+    The driver moves one folder a document. A reader asks for the receipt first. Returns the receipt's path.
+    """
+    spark = pages.sparkSession
+    staging = f"{root}/staging-{uuid.uuid4().hex}"
+    note, done = f"{root}/receipts/{receipt}.json", []
+    fs, staged = _fs(spark, staging)
+
+    def put(path: str, text: str | None) -> None:
+        """A state as it is to be; states are read only below a receipt, so none is seen in between."""
+        fs.delete(_fs(spark, path)[1], False)
+        if text is not None:
+            _write_text(spark, path, text)
+
+    try:
+        pages.write.partitionBy("document").parquet(staging)
+        back = spark.read.schema(pages.schema).parquet(staging).select(*pages.columns)
+        want, got = table_digest(pages, ["document", "page"]), table_digest(back, ["document", "page"])
+        if want != got:
+            raise ValueError("the staged documents differ from their source")
+        counts = {r["document"]: r["n"] for r in back.groupBy("document").agg(F.count(F.lit(1)).alias("n")).collect()}  # the documents of one transaction
+        folders = sorted(f.getPath().getName() for f in fs.listStatus(staged) if f.isDirectory())
+        if _read_text(spark, note) is not None:
+            raise FileExistsError(note)
+        states = {d: _read_text(spark, f"{root}/states/{d}.json") for d in counts}
+        for d, text in (seen or {}).items():
+            if states.get(d) != text:
+                raise ValueError(f"the state of {d} has changed")
+        fs.mkdirs(_fs(spark, f"{root}/documents")[1])
+        for f in folders:
+            target = f"{root}/documents/{f}"
+            if fs.exists(_fs(spark, target)[1]) or not fs.rename(_fs(spark, f"{staging}/{f}")[1], _fs(spark, target)[1]):
+                raise FileExistsError(target)
+            done.append(lambda t=target: fs.delete(_fs(spark, t)[1], True))
+        for d, n in counts.items():
+            path = f"{root}/states/{d}.json"
+            done.append(lambda p=path, t=states[d]: put(p, t))
+            put(path, json.dumps({"document": d, "pages": n, "receipt": receipt}))
+        _write_text(spark, note, json.dumps(got | {"documents": sorted(counts)}))
+        return note
+    except BaseException as e:
+        for undo in reversed(done):
+            try:
+                undo()
+            except Exception as more:
+                e.add_note(f"not undone: {more}")
+        raise
+    finally:
+        fs.delete(staged, True)

@@ -60,7 +60,7 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes of every file below a folder, by path relative to it; contents are not read (SRC-13)."""
+    """file, bytes of every file below a folder, by path relative to it; contents are not read (SRC-13). Spark's reader does not see files without a byte."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.removeprefix("file://").rstrip("/") + "/"
     return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("bytes"))
