@@ -45,6 +45,11 @@ def dense_length(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\s", ""))
 
 
+def quoted(c: Column) -> Column:
+    """A pattern that matches just this text."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def exact_count(text: Column, surface) -> Column:
     """Non-overlapping occurrences; an empty surface has none (SCA-05)."""
     s = lit(surface)
@@ -60,7 +65,7 @@ def spaceless_count(text: Column, surface) -> Column:
 def occurrence_starts(text: Column, surface) -> Column:
     """0-based starts of the non-overlapping occurrences, left to right (SCA-06): lengths of the pieces between them, summed up."""
     s = lit(surface)
-    pieces = F.split(text, F.concat(F.lit("\\Q"), s, F.lit("\\E")), -1)
+    pieces = F.split(text, quoted(s), -1)
     n = F.length(s)
     sums = F.aggregate(
         F.slice(pieces, 1, F.size(pieces) - 1),

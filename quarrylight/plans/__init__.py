@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES (name -> f(spark, sf_dir)) and ORACLE (name -> SQL).
-MODULES = ("facets", "relational", "aggregates", "texts", "flows", "composites", "files", "operations")
+MODULES = ("facets", "relational", "aggregates", "texts", "flows", "composites", "files", "operations", "graph")
 
 
 def _gather(attr: str) -> dict:

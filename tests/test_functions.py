@@ -82,6 +82,11 @@ def test_overlapping_frequency(spark):
     assert one(spark, S.overlapping_count(F.col("t"), "aaaa"), t="aaaaaa") == 3
 
 
+def test_surfaces_are_no_patterns(spark):
+    for surface in ("\\E", "\\Q", "\\E.\\Q", ".", "$1", "\\"):
+        assert one(spark, X.occurrence_starts(F.col("t"), surface), t=f"x{surface}yz{surface}") == [1, 3 + len(surface)]
+
+
 def test_greedy_overlap(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 4), (2, 5), (5, 7))])
     assert [tuple(r) for r in one(spark, O.greedy_overlap(spans))] == [(0, 4), (5, 7)]
