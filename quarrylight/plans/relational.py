@@ -300,141 +300,6 @@ def joi13_greedy_overlap(s, d):
     return j.select("doc_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("found", F.lit(0)).alias("found"))
 
 
-@q("""WITH e(era, a, b) AS (VALUES ('early', 1992, 1993), ('middle', 1994, 1996), ('late', 1997, 1999))
-SELECT era, count(*) AS n FROM orders JOIN e ON year(o_orderdate) BETWEEN a AND b WHERE o_orderstatus = 'F' GROUP BY era""")
-def flt15_archive_by_era(s, d):
-    o = T(s, d, "orders").filter("o_orderstatus = 'F'").select(F.year("o_orderdate").alias("y"))
-    eras = s.createDataFrame(ERAS, "era string, a int, b int")
-    return O.range_join(o, eras, "y", "a", "b", 10).groupBy("era").agg(F.count(F.lit(1)).alias("n"))
-
-
-@q("""SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view') AND value > 50""")
-def flt16_lifecycle_filter(s, d):
-    visible, every = ["click", "view"], ["click", "view", "purchase", "login", "logout"]
-    p = F.lit(True) if set(visible) == set(every) else F.arrays_overlap(F.array("event_type"), F.array(*map(F.lit, visible)))
-    return T(s, d, "events").filter(p & (F.col("value") > 50)).select("event_id", "event_type")
-
-
-@q("SELECT count(*) AS columns FROM (DESCRIBE documents) WHERE column_name IN ('doc_id', 'text', 'lang', 'source', 'n_chars')")
-def flt17_structural_keys(s, d):
-    allowed = {"doc_id", "text", "lang", "source", "n_chars"}
-    docs = T(s, d, "documents")
-    if extra := set(docs.columns) - allowed:
-        raise ValueError(f"unknown columns: {sorted(extra)}")
-    return s.createDataFrame([(len(docs.columns),)], "columns long")
-
-
-@q("""WITH r AS (SELECT doc_id, list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END,
-  CASE WHEN l.quality IS NULL THEN 'unlabelled' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS reasons FROM documents LEFT JOIN labels l USING (doc_id)),
-e AS (SELECT doc_id, unnest(CASE WHEN len(reasons) = 0 THEN ['eligible'] ELSE reasons END) AS reason FROM r)
-SELECT reason, count(*) AS n FROM e GROUP BY reason""")
-def flt18_reason_codes(s, d):
-    j = T(s, d, "documents").select("doc_id", "n_chars", "lang").join(T(s, d, "labels"), "doc_id", "left")
-    r = O.reasons(short=F.col("n_chars") < 200, foreign=F.col("lang") != "en", unlabelled=F.col("quality").isNull(), toxic=F.col("toxic") == 1)
-    e = j.select(F.explode(F.when(F.size(r) == 0, F.array(F.lit("eligible"))).otherwise(r)).alias("reason"))
-    return e.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-# --- joins ---------------------------------------------------------------------------------------
-
-
-@q("""SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
-JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name""")
-def joi01_inner_chain(s, d):
-    j = T(s, d, "orders").join(T(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-@q("""SELECT count(*) AS rows, count(l_orderkey) AS matched, count(DISTINCT CASE WHEN l_orderkey IS NULL THEN o_orderkey END) AS without_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""")
-def joi02_left_counts(s, d):
-    j = T(s, d, "orders").join(T(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.agg(F.count(F.lit(1)).alias("rows"), F.count("l_orderkey").alias("matched"), F.count_distinct(F.when(F.col("l_orderkey").isNull(), F.col("o_orderkey"))).alias("without_lines"))
-
-
-@q("""SELECT o_orderkey, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS lines, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
-def joi03_nested_children(s, d):
-    j = T(s, d, "orders").select("o_orderkey").join(T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    g = j.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.when(F.col("l_orderkey").isNotNull(), F.struct("l_linenumber", "l_partkey")))).alias("lines"))
-    return g.select("o_orderkey", F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("lines"), F.size("lines").cast("long").alias("n"))
-
-
-@q("""SELECT a.n_name AS source, b.n_name AS target FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
-def joi04_role_playing(s, d):
-    n = T(s, d, "nation")
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")).select(F.col("a.n_name").alias("source"), F.col("b.n_name").alias("target"))
-
-
-@q("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-def joi05_semi(s, d):
-    return T(s, d, "customer").join(T(s, d, "orders").filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
-
-
-@q("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def joi06_anti(s, d):
-    return T(s, d, "orders").join(T(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
-
-
-@q("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
-def joi07_in_subquery(s, d):
-    return s.sql("SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_returnflag = 'R')", part=T(s, d, "part"), lineitem=T(s, d, "lineitem"))
-
-
-@q("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def joi08_lookup(s, d):
-    nation = T(s, d, "nation")  # a fixed dimension of 25 rows
-    return T(s, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-
-
-@q("""SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN 'special' WHEN source IN ('src1', 'src2') THEN 'core' ELSE 'unclassified' END AS class,
-CASE WHEN doc_id % 10 = 0 THEN 'override' WHEN source IN ('src1', 'src2') THEN 'rule' ELSE 'default' END AS basis FROM documents""")
-def joi09_override_lookup(s, d):
-    docs = T(s, d, "documents").select("doc_id", "source")
-    override = docs.filter("doc_id % 10 = 0").select("doc_id", F.lit("special").alias("class"))
-    rules = s.createDataFrame([("src1", "core"), ("src2", "core")], "source string, class string")
-    return O.override_lookup(docs, override, rules, "doc_id", "source", "class", "unclassified")
-
-
-@q("""WITH g(grp, m) AS (VALUES ('a', 'en'), ('a', 'fr'), ('b', 'de'), ('b', 'en')) SELECT lang, count(grp) AS matches FROM (SELECT DISTINCT lang FROM documents) LEFT JOIN g ON lang = m GROUP BY lang HAVING count(grp) <> 1""")
-def joi10_exactly_one(s, d):
-    groups = s.createDataFrame([("a", ["en", "fr"]), ("b", ["de", "en"])], "grp string, members array<string>").select("grp", F.explode("members").alias("lang"))
-    return O.not_exactly_one(T(s, d, "documents").select("lang").distinct(), "lang", groups, "lang")
-
-
-SCOPES = [("c1", ["*"]), ("c2", ["en"]), ("c3", ["de", "src1"])]
-
-
-@q("""WITH c(concept, scope) AS (VALUES ('c1', ['*']), ('c2', ['en']), ('c3', ['de', 'src1']))
-SELECT concept, count(*) AS n FROM documents JOIN c ON list_contains(scope, '*') OR list_contains(scope, lang) OR list_contains(scope, source) GROUP BY concept""")
-def joi11_wildcard_scope(s, d):
-    c = s.createDataFrame(SCOPES, "concept string, scope array<string>").select("concept", F.explode("scope").alias("m"))
-    docs = T(s, d, "documents").select("doc_id", F.explode(F.array_distinct(F.array(F.lit("*"), "lang", "source"))).alias("m"))
-    return docs.join(c, "m").select("concept", "doc_id").distinct().groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
-
-
-LEXICON = ["tion", "the", "and", "with", "ble"]
-
-
-@q("""WITH l(surface) AS (VALUES ('tion'), ('the'), ('and'), ('with'), ('ble'))
-SELECT doc_id, surface, ((length(text) - length(replace(text, surface, ''))) / length(surface))::BIGINT AS n FROM documents, l WHERE contains(text, surface)""")
-def joi12_substring_join(s, d):
-    docs = T(s, d, "documents").select("doc_id", "text")
-    counts = F.array(*[F.struct(F.lit(x).alias("surface"), X.exact_count(F.col("text"), x).cast("long").alias("n")) for x in LEXICON])
-    return docs.select("doc_id", F.inline(F.filter(counts, lambda c: c["n"] > 0)))
-
-
-@q()
-def joi13_greedy_overlap(s, d):
-    """Longest match first, then start, then surface; kept spans of each document."""
-    docs = T(s, d, "documents").select("doc_id", "text")
-
-    def matches(x: str):
-        return F.transform(X.occurrence_starts(F.col("text"), x), lambda a: F.struct(F.lit(-len(x)).alias("order"), a.alias("start"), F.lit(x).alias("surface"), (a + len(x)).alias("end")))
-
-    spans = F.array_sort(F.flatten(F.array(*[matches(x) for x in [*LEXICON, "ation", "then"]])))
-    return docs.select("doc_id", F.size(O.greedy_overlap(spans)).alias("kept"), F.size(spans).alias("found"))
-
-
 @q("""WITH e(era, a, b) AS (VALUES ('early', 1992, 1993), ('middle', 1994, 1996), ('late', 1997, 1999)), y AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)
 SELECT o_orderkey, era FROM y JOIN e ON y BETWEEN a AND b""")
 def joi14_range_join(s, d):
