@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quarrylight import functions as X
@@ -45,6 +46,14 @@ def through_stream(s, d, build, mode: str):
     return s.table(name)
 
 
+def latest_of_stream(s, stream, key: str):
+    """Run a streaming query in update mode to its end; the rows of each batch are written under its number, of each key the last one counts."""
+    path = shared_folder(s)
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", shared_folder(s)).trigger(availableNow=True)
+    run.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
+    return O.first_per_key(s.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(path), key, F.desc("batch")).drop("batch")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
@@ -90,7 +99,10 @@ def str02_retry_ledger(s, d):
 @q(ORACLE["str02_retry_ledger"])
 def str02_retry_stream(s, d):
     ship(s)
-    return through_stream(s, d, lambda e: R.retry_states(e.select(F.col("user_id").cast("string").alias("key"), "ts", (F.col("value") >= 30).alias("ok"))), "update").select("key", "attempts", "quarantined")
+    path = f"{d}/events.parquet"
+    e = R.event_stream(s, path, s.read.parquet(path).schema)
+    states = R.retry_states(e.select(F.col("user_id").cast("string").alias("key"), "ts", (F.col("value") >= 30).alias("ok")))
+    return latest_of_stream(s, states, "key").select("key", "attempts", "quarantined")
 
 
 @q("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 20")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,28 +66,33 @@ def next_retry(attempts: Column, failed_at: Column) -> tuple[Column, Column]:
     return F.when(~gone, failed_at + F.make_dt_interval(mins=delay)), gone
 
 
-RETRY_OUT = "key string, attempts int, next_retry_at timestamp, quarantined boolean"
-RETRY_STATE = "attempts int, quarantined boolean"
+RETRY_OUT = "key string, attempts int, failed_at long, quarantined boolean"
+RETRY_STATE = "last_ok long, failed array<long>, undated int"
+#: The microsecond that stands for no time.
+NEVER = -(2**63)
 
 
 def _retry(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    attempts, gone = state.get if state.exists else (0, False)
-    at = None
+    """The record depends on no order of rows, Arrow batches or triggers: of a key are kept its last success and, of the failures after it, the last QUARANTINE."""
+    last, failed, undated = state.get if state.exists else (NEVER, [], 0)
+    failed = np.array(failed, dtype=np.int64)
     for pdf in batches:
-        for ts, ok in sorted(zip(pdf["ts"], pdf["ok"])):
-            if ok:
-                attempts, gone, at = 0, False, None
-            elif not gone:
-                attempts += 1
-                gone = attempts >= QUARANTINE
-                at = None if gone else ts + pd.Timedelta(minutes=DELAYS[min(attempts, len(DELAYS)) - 1])
-    state.update((attempts, gone))
-    yield pd.DataFrame({"key": [key[0]], "attempts": [attempts], "next_retry_at": [at], "quarantined": [gone]})
+        at, ok = pdf["at"].to_numpy(), pdf["ok"].to_numpy()
+        last = int(at[ok == 1].max(initial=last))
+        failed = np.concatenate([failed, at[(ok == 0) & (at != NEVER)]])
+        failed = np.sort(failed[failed > last])[-QUARANTINE:]
+        undated = min(QUARANTINE, undated + int(((ok == 0) & (at == NEVER)).sum()))
+    state.update((last, failed.tolist(), undated))
+    loose = undated if last == NEVER else 0  # a success of any time comes after a failure of none
+    yield pd.DataFrame({"key": [key[0]], "attempts": [min(QUARANTINE, len(failed) + loose)], "failed_at": [NEVER if loose or not len(failed) else failed[-1]], "quarantined": [len(failed) + loose >= QUARANTINE]})
 
 
 def retry_states(outcomes: DataFrame) -> DataFrame:
-    """key, ts, ok as a stream -> the retry record of each key after each batch; a success clears it."""
-    return outcomes.groupBy("key").applyInPandasWithState(_retry, RETRY_OUT, RETRY_STATE, "update", GroupStateTimeout.NoTimeout)
+    """key, ts, ok as a stream -> the retry record of each key after each batch; a success clears it. A later batch may bring earlier outcomes."""
+    o = outcomes.select("key", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at"), F.coalesce(F.col("ok").cast("int"), F.lit(-1)).alias("ok"))
+    r = o.groupBy("key").applyInPandasWithState(_retry, RETRY_OUT, RETRY_STATE, "update", GroupStateTimeout.NoTimeout)
+    at, _ = next_retry(F.col("attempts"), F.timestamp_micros(F.nullif(F.col("failed_at"), F.lit(NEVER))))
+    return r.select("key", "attempts", F.when(F.col("attempts") > 0, at).alias("next_retry_at"), "quarantined")
 
 
 def retry_ledger(outcomes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scalar functions on hand-made rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from quarrylight import functions as X
 from quarrylight import operators as O
 from quarrylight import streaming as R
 from quarrylight.operators import search as S
+from quarrylight.plans.flows import latest_of_stream
 from quarrylight.release import keep_generated_at, publish, read_release
 
 
@@ -128,6 +130,21 @@ def test_retry_delays(spark):
         assert r["at"] == (None if minutes is None else n - 1 + 60 * minutes)
 
 
+def test_retry_stream_needs_no_order(spark, tmp_path):
+    """Outcomes of a key in any order, over Arrow batches and over triggers that go back in time, with ties, nulls and times unknown."""
+    rng = random.Random(3)
+    rows = [(f"k{i % 9}", rng.randrange(40) or None, rng.choice([True, False, False, False, False, None])) for i in range(300)]
+    rows += [("undated", None, False), ("undated", 5, False), ("healed", None, False), ("healed", 7, True), ("nothing", 1, None)]
+    (df := spark.createDataFrame(rows, "key string, s long, ok boolean").select("key", F.timestamp_seconds("s").alias("ts"), "ok")).repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = latest_of_stream(spark, R.retry_states(stream), "key")
+        assert sorted(map(repr, got.select("key", "attempts", "next_retry_at", "quarantined").collect())) == sorted(map(repr, R.retry_ledger(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_rate_limit(spark):
     df = spark.createDataFrame([(1, i) for i in range(4)], "u int, s long").select("u", F.timestamp_seconds("s").alias("ts"), "s")
     assert [r["accepted"] for r in R.rate_verdicts(df, ["u"], ["s"], 3, 3600).orderBy("s").collect()] == [True, True, True, False]
