@@ -152,27 +152,42 @@ def grams(c: Column, n: int = 3) -> Column:
     return F.flatten(F.transform(F.flatten(F.transform(F.array(c), pieces)), of))
 
 
+def bound(c: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def shared(x: Column, y: Column) -> Column:
+    """Size of the intersection of two sorted arrays of strings as multisets, in one pass over both laid on end and sorted."""
+    def marked(c: Column, right: bool) -> Column:
+        return F.transform(c, lambda g: F.struct(g.alias("g"), F.lit(right).alias("right")))
+
+    def step(acc: Column, e: Column) -> Column:
+        spare = F.when(acc["g"] == e["g"], acc["spare"]).otherwise(0)  # of the left side's, not yet met
+        return F.struct(e["g"].alias("g"), F.when(e["right"], F.greatest(spare - 1, F.lit(0))).otherwise(spare + 1).alias("spare"), (acc["n"] + (e["right"] & (spare > 0)).cast("int")).alias("n"))
+
+    zero = F.struct(F.lit("").alias("g"), F.lit(0).alias("spare"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(F.concat(marked(x, False), marked(y, True))), zero, step)["n"]
+
+
 def dice(a: Column, b: Column, n: int = 3) -> Column:
     """Dice coefficient of the multisets of n-grams; 1 if both are empty, equality if both are shorter than n (SCA-18).
 
-    Grams are numbered by occurrence, so that the overlap of sets of (gram, number) is that of the multisets.
+    The overlap is that of the distinct grams, by hash, and that of what each side has of a gram beyond the first, mostly little. Equal texts need no grams.
     """
-    def numbered(c: Column) -> Column:
-        g = F.array_sort(grams(c, n))
-        return F.aggregate(
-            g,
-            F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")),
-            lambda acc, x: F.struct(
-                x.alias("last"),
-                F.when(acc["last"] == x, acc["k"] + 1).otherwise(F.lit(0)).alias("k"),
-                F.concat(acc["out"], F.array(F.concat_ws("#", x, F.when(acc["last"] == x, acc["k"] + 1).otherwise(F.lit(0)).cast("string")))).alias("out"),
-            ),
-        )["out"]
-
-    x, y = numbered(a), numbered(b)
-    total = F.size(x) + F.size(y)
-    short = (F.length(a) < n) & (F.length(b) < n)
-    return F.when(short, (a == b).cast("double")).otherwise(F.round(2 * F.size(F.array_intersect(x, y)) / total, 4))
+    def again(g: Column) -> Column:
+        return F.filter(g, lambda x, i: (i > 0) & (x == F.get(g, i - 1)))
+
+    def overlap(g: Column) -> Column:
+        return F.size(F.array_intersect(g["a"], g["b"])) + shared(again(g["a"]), again(g["b"]))
+
+    def of(t: Column) -> Column:
+        total = sum(F.greatest(F.length(t[c]) - (n - 1), F.lit(0)) for c in "ab")
+        short = (F.length(t["a"]) < n) & (F.length(t["b"]) < n)
+        both = F.struct(*[F.sort_array(grams(t[c], n)).alias(c) for c in "ab"])
+        return F.when(t["a"] == t["b"], 1.0).when(short, 0.0).otherwise(F.round(2 * bound(both, overlap) / total, 4))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def fnv1a(c: Column) -> Column:

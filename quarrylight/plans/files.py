@@ -241,7 +241,7 @@ def dice_gate(one, two, confidence, lines, low):
     """The status of a page from two readings of it (GAT-06): blank, pass, or review."""
     years = lambda c: F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all(c, F.lit("((?:18|19|20)[0-9]{2})"), F.lit(1)))), ",")
     ratio = F.when(lines > 0, low / lines).otherwise(0.0)
-    passed = (X.dice(one, two) >= 0.92) & (years(one) == years(two)) & (F.coalesce(confidence, F.lit(0.0)) >= 0.85) & (ratio <= 0.15)
+    passed = (F.coalesce(confidence, F.lit(0.0)) >= 0.85) & (ratio <= 0.15) & (years(one) == years(two)) & (X.dice(one, two) >= 0.92)  # the dearest last
     return F.when(F.greatest(F.length(one), F.length(two)) < 10, "blank_or_image_only").when(passed, "machine_pass").otherwise("manual_review_required")
 
 
@@ -253,7 +253,10 @@ def gat06_dice_gate(s, d):
     one = F.when(k % 7 == 0, F.lit("x")).otherwise(text)
     two = F.when(k % 7 == 0, F.lit("")).when(k % 5 == 0, F.regexp_replace(text, "year (....)", "year 1850")).when(k % 11 == 0, F.replace(text, F.lit("line by line, by two engines"), F.lit("and never again by any"))).otherwise(text)
     low = F.when(k % 13 == 0, 16).otherwise(15)
-    return T(s, d, "orders").select("o_orderkey", dice_gate(one, two, F.when(k % 3 == 0, 0.84).otherwise(0.85), F.lit(100), low).alias("status"))
+    # a task for each few rows of a compact file, as a row takes long
+    o = T(s, d, "orders").select("o_orderkey", "o_orderdate").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    read = o.select("o_orderkey", one.alias("one"), two.alias("two"))
+    return read.select("o_orderkey", dice_gate(F.col("one"), F.col("two"), F.when(k % 3 == 0, 0.84).otherwise(0.85), F.lit(100), low).alias("status"))
 
 
 @q("""SELECT 'document' AS kind, doc_id::VARCHAR AS id, min(subject) AS subject, row_number() OVER (PARTITION BY 1 ORDER BY min(y), min(subject), doc_id) AS place FROM (SELECT doc_id, source AS subject, n_chars % 30 AS y FROM documents WHERE source IN ('src1', 'src2', 'src11')) GROUP BY doc_id

@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,23 @@ def test_closure_stops_at_cycles(spark):
     assert got["c"] == (["a", "b", "c"], False) and got["x"][1] and got["y"][1]
 
 
+def test_dice_of_long_and_repetitive_texts(spark):
+    """As counters have it; and a repetitive text takes time in proportion to its length."""
+    def plain(a, b):
+        x, y = (Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in (a, b))
+        return float(a == b) if max(len(a), len(b)) < 3 else round(2 * (x & y).total() / (x.total() + y.total()), 4)
+
+    rng = random.Random(5)
+    made = ["".join(rng.choice("ab\U0001f600é") for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = [*zip(made, reversed(made)), ("", ""), ("ab", "ab"), ("ab", "ba"), ("", "abc"), ("a" * 700, "a" * 300)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.dice(F.col("a"), F.col("b")).alias("x"))
+    assert all(abs(r["x"] - plain(r["a"], r["b"])) < 1.01e-4 for r in df.collect())  # halves are rounded otherwise
+    long = spark.range(1).select(F.repeat(F.lit("ab"), 10_000).alias("a"), F.repeat(F.lit("ba"), 10_000).alias("b"))
+    began = time.monotonic()
+    assert long.select(X.dice(F.col("a"), F.col("b")).alias("x")).first()["x"] == 1.0  # 9,999 of each of two grams
+    assert time.monotonic() - began < 20
+
+
 def test_retry_delays(spark):
     rows = [("k", i, False) for i in range(5)]
     for n, minutes in ((1, 10), (2, 30), (3, 120), (4, 360), (5, None)):
