@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quarrylight import functions as X
 from quarrylight import operators as O
 from quarrylight.operators import graph as G
+from quarrylight.operators.related import related_items
 from quarrylight.session import table as T
 from quarrylight.session import written
 
@@ -345,10 +346,17 @@ def joi18_first_witness(s, d):
 c AS (SELECT a.o AS item, b.o AS related, count(*) AS shared, min(abs(a.y - b.y)) AS distance FROM x a JOIN x b ON a.p = b.p AND a.o <> b.o GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY shared DESC, distance, related) AS rank FROM c) SELECT item, related, shared, distance, rank FROM r WHERE rank <= 6""")
 def joi19_related_items(s, d):
-    x = T(s, d, "lineitem").join(T(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.year("o_orderdate").alias("y")).distinct()
-    a, b = x.select("p", F.col("o").alias("item"), F.col("y").alias("ya")), x.select("p", F.col("o").alias("related"), F.col("y").alias("yb"))
-    c = a.join(b, "p").filter("item <> related").groupBy("item", "related").agg(F.count(F.lit(1)).alias("shared"), F.min(F.abs(F.col("ya") - F.col("yb"))).alias("distance"))
-    return O.top_k(c, "item", 6, F.desc("shared"), "distance", "related")
+    lines = T(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("member"))
+    places = T(s, d, "orders").select(F.col("o_orderkey").alias("item"), F.year("o_orderdate").alias("place"))
+    year = F.coalesce("place", F.lit(-(2**31)))
+    per_order = places.dropna(subset=["item"]).groupBy("item").agg(F.min(year).alias("least"), F.max(year).alias("most"))
+    if per_order.filter(f"least <> most OR least = {-(2**31)}").isEmpty():
+        return related_items(lines, places, 6)
+    # an order without a date, or dated twice: all pairs
+    x = lines.join(places, "item").distinct()
+    a, b = x.select("member", "item", F.col("place").alias("ya")), x.select("member", F.col("item").alias("related"), F.col("place").alias("yb"))
+    c = a.join(b, "member").filter("item <> related").groupBy("item", "related").agg(F.count(F.lit(1)).alias("shared"), F.min(F.abs(F.col("ya") - F.col("yb"))).alias("distance"))
+    return O.top_k(c, "item", 6, F.desc("shared"), F.asc_nulls_last("distance"), "related")
 
 
 @q("""WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0),
